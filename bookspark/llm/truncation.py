@@ -4,7 +4,7 @@ Word trigrams are counted inside texts and at their ends. A final trigram that
 is frequent inside but almost never terminal marks a cut. Where the final
 trigram is too rare to tell, its shape (short words, punctuation, case and
 digits kept, other words reduced to a sign) is judged the same way, then the
-kind of its last word; and a final word that no text holds, but that begins a
+kind of its last word, each time leaving out the text's own end; and a final word that no text holds, but that begins a
 word of other texts, is a fragment.
 """
 
@@ -21,12 +21,12 @@ SUPPORT = 50
 TERMINAL, SURE = 0.01, 0.02
 
 #: What a field limit or a broken transfer may have left at the end.
-MARK = r"(?:\s*(?:\.\.\.|…|�|\[(?:…|\.\.\.)\]|</?\w*))+\s*$"
+MARK = r"(?:\s*(?:\.\.\.|…|�|\[(?:…|\.\.\.)\]|</?\w*|&#?\w*))+\s*$"
 
 PREPARED = rf"""
 SELECT doc_id, source,
        regexp_replace(text, r'{MARK}', '') AS body,
-       text RLIKE r'(?:\.\.\.|…|�|\]|</?\w*)\s*$' AS marked
+       text RLIKE r'(?:\.\.\.|…|�|\]|</?\w*|&#?\w*)\s*$' AS marked
 FROM documents WHERE text IS NOT NULL AND text RLIKE r'\S'
 """
 
@@ -75,9 +75,9 @@ CLASS_ENDS = f"SELECT {CLASS} AS class, sum(n) AS n FROM shape_ends GROUP BY 1"
 
 JUDGED = f"""
 SELECT f.doc_id, f.source, f.tri, f.marked,
-       coalesce(t.n, 0) - e.n AS n_inside, e.n AS n_terminal,
-       coalesce(s.n, 0) - se.n AS s_inside, se.n AS s_terminal,
-       coalesce(c.n, 0) - ce.n AS c_inside, ce.n AS c_terminal, g.word IS NOT NULL AS fragment
+       coalesce(t.n, 0) - e.n AS n_inside, e.n - 1 AS n_terminal,
+       coalesce(s.n, 0) - se.n AS s_inside, se.n - 1 AS s_terminal,
+       coalesce(c.n, 0) - ce.n AS c_inside, ce.n - 1 AS c_terminal, g.word IS NOT NULL AS fragment
 FROM (SELECT *, {CLASS} AS class FROM (SELECT *, {SHAPE} AS shape FROM finals)) f
 JOIN ends e ON f.tri = e.tri
 JOIN shape_ends se ON f.shape = se.shape
@@ -90,8 +90,8 @@ LEFT JOIN fragments g ON f.last_word = g.word
 
 VERDICT = f"""
 SELECT *,
-  CASE WHEN fragment THEN true
-       WHEN n_terminal >= 5 AND n_terminal >= {SURE} * (n_inside + n_terminal) THEN false
+  CASE WHEN n_terminal >= 5 AND n_terminal >= {SURE} * (n_inside + n_terminal) THEN false
+       WHEN fragment THEN true
        WHEN s_inside >= {SUPPORT} AND s_terminal < {TERMINAL} * (s_inside + s_terminal) THEN true
        WHEN n_inside >= {SUPPORT} AND n_terminal < {TERMINAL} * (n_inside + n_terminal) AND s_terminal < {SURE} * (s_inside + s_terminal) THEN true
        WHEN s_inside + s_terminal >= {SUPPORT} THEN false
