@@ -52,7 +52,7 @@ SELECT doc_id, source, marked, last_word, concat_ws(' ', slice(w, size(w) - 2, 3
 SHAPE = r"regexp_replace(tri, r'\p{Ll}[\p{L}\p{M}’-]{3,}', 'x')"
 
 #: The kind of the last word of a shape: case, digits and signs.
-CLASS = r"regexp_replace(regexp_extract(shape, r'(\S+)$', 1), r'\p{Ll}[\p{L}\p{M}’-]*', 'x')"
+CLASS = r"regexp_replace(regexp_replace(regexp_extract(shape, r'(\S+)$', 1), r'\p{Ll}[\p{L}\p{M}’-]*', 'x'), r'\p{Lu}[\p{L}\p{M}’-]*', 'X')"
 
 VOCABULARY = r"""
 SELECT word, count(*) AS n FROM (
