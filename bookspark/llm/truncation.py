@@ -23,61 +23,64 @@ TERMINAL, SURE = 0.01, 0.02
 #: What a field limit or a broken transfer may have left at the end.
 MARK = r"(?:\s*(?:\.\.\.|…|�|\[(?:…|\.\.\.)\]|</?\w*|&#?\w*))+\s*$"
 
-PREPARED = rf"""
-SELECT doc_id, source,
-       regexp_replace(text, r'{MARK}', '') AS body,
-       text RLIKE r'(?:\.\.\.|…|�|\]|</?\w*|&#?\w*)\s*$' AS marked
-FROM documents WHERE text IS NOT NULL AND text RLIKE r'\S'
-"""
+#: Names and numbers stand for their kind; a blank line is a sign of its own.
+NORMAL = r"regexp_replace(regexp_replace(replace({0}, '\n\n', ' ¶ '), r'\p{{Lu}}\p{{M}}*\p{{Ll}}[^\s.,;:!?…)\]}}”“„]*', 'X'), r'[0-9]+', '0')"
 
-NORMAL = r"""
-SELECT doc_id, source, marked,
-       regexp_extract(body, r'(\S+)\s*$', 1) AS last_word,
-       split(concat('^ ^ ', trim(regexp_replace(regexp_replace(regexp_replace(body, r'\n\s*\n', ' ¶ '), r'\p{Lu}[\p{M}’-]*\p{Ll}[\p{L}\p{M}’-]*', 'X'), r'\p{N}+', '0'))), r'\s+') AS w
-FROM prepared
-"""
+TEXTS = "SELECT doc_id, source, text FROM documents WHERE text IS NOT NULL AND trim(' \\n\\r\\t' FROM text) <> ''"
 
-TRIGRAMS = """
+TRIGRAMS = rf"""
 SELECT tri, count(*) AS n FROM (
   SELECT concat_ws(' ', z.`0`, z.`1`, z.`2`) AS tri FROM (
-    SELECT explode(arrays_zip(slice(w, 1, size(w) - 2), slice(w, 2, size(w) - 2), slice(w, 3, size(w) - 2))) AS z FROM normal))
+    SELECT explode(arrays_zip(slice(w, 1, size(w) - 2), slice(w, 2, size(w) - 2), slice(w, 3, size(w) - 2))) AS z
+    FROM (SELECT split(concat('^ ^ ', trim({NORMAL.format("text")})), r'\s+') AS w FROM texts)))
 GROUP BY tri
 """
 
-FINALS = """
-SELECT doc_id, source, marked, last_word, concat_ws(' ', slice(w, size(w) - 2, 3)) AS tri FROM normal
+#: The last words of each text; what the cut left is taken off. Only the tail is needed, which substring_index finds from the end.
+FINALS = rf"""
+SELECT doc_id, source, marked, regexp_extract(body, r'(\S+)\s*$', 1) AS last_word, concat_ws(' ', slice(w, size(w) - 2, 3)) AS tri
+FROM (
+  SELECT *, split(concat('^ ^ ', trim({NORMAL.format("body")})), r'\s+') AS w
+  FROM (SELECT doc_id, source, tail RLIKE r'{MARK}' AS marked, regexp_replace(tail, r'{MARK}', '') AS body
+        FROM (SELECT doc_id, source, substring_index(trim(' \n\r\t' FROM text), ' ', -12) AS tail FROM texts)))
 """
 
 #: Words of up to three letters stay; so do signs. SHAPE of a column tri.
 SHAPE = r"regexp_replace(tri, r'\p{Ll}[\p{L}\p{M}’-]{3,}', 'x')"
-
 #: The kind of the last word of a shape: case, digits and signs.
 CLASS = r"regexp_replace(regexp_replace(regexp_extract(shape, r'(\S+)$', 1), r'\p{Ll}[\p{L}\p{M}’-]*', 'x'), r'\p{Lu}[\p{L}\p{M}’-]*', 'X')"
 
+#: Words inside texts: the very last of each text is taken off again, as it may be a fragment.
 VOCABULARY = r"""
-SELECT word, count(*) AS n FROM (
-  SELECT explode(split(regexp_replace(body, r'\S+\s*$', ''), r'[^\p{L}\p{M}\p{N}’-]+')) AS word FROM prepared)
+SELECT word, sum(n) AS n FROM (
+  SELECT explode(split(token, r'[^\p{L}\p{M}\p{N}’-]+')) AS word, n FROM (
+    SELECT token, sum(n) AS n FROM (
+      SELECT explode(split(replace(text, '\n', ' '), ' ')) AS token, 1 AS n FROM texts
+      UNION ALL
+      SELECT substring_index(substring_index(trim(' \n\r\t' FROM text), ' ', -1), '\n', -1) AS token, -1 AS n FROM texts)
+    GROUP BY token HAVING sum(n) > 0))
 WHERE word <> '' GROUP BY word
 """
 
-ENDS = "SELECT tri, count(*) AS n FROM finals GROUP BY tri"
-SHAPES = f"SELECT {SHAPE} AS shape, sum(n) AS n FROM trigrams GROUP BY 1"
-SHAPE_ENDS = f"SELECT {SHAPE} AS shape, sum(n) AS n FROM ends GROUP BY 1"
-
+#: Beginnings of words that are no word of any text.
 FRAGMENTS = """
-SELECT DISTINCT f.word FROM (SELECT DISTINCT last_word AS word FROM finals) f
-JOIN (SELECT DISTINCT substring(word, 1, k) AS word FROM vocabulary LATERAL VIEW explode(sequence(1, length(word) - 1)) AS k WHERE length(word) > 1) p ON f.word = p.word
-LEFT ANTI JOIN vocabulary v ON f.word = v.word
+SELECT word FROM (
+  SELECT substring(word, 1, k) AS word, k = length(word) AS whole FROM vocabulary LATERAL VIEW explode(sequence(1, length(word))) AS k)
+GROUP BY word HAVING NOT bool_or(whole)
 """
 
+ENDS = "SELECT tri, count(*) AS n, count_if(NOT marked) AS n_whole FROM finals GROUP BY tri"
+SHAPES = f"SELECT {SHAPE} AS shape, sum(n) AS n FROM trigrams GROUP BY 1"
+SHAPE_ENDS = f"SELECT {SHAPE} AS shape, sum(n) AS n, sum(n_whole) AS n_whole FROM ends GROUP BY 1"
+
 CLASSES = f"SELECT {CLASS} AS class, sum(n) AS n FROM shapes GROUP BY 1"
-CLASS_ENDS = f"SELECT {CLASS} AS class, sum(n) AS n FROM shape_ends GROUP BY 1"
+CLASS_ENDS = f"SELECT {CLASS} AS class, sum(n) AS n, sum(n_whole) AS n_whole FROM shape_ends GROUP BY 1"
 
 JUDGED = f"""
 SELECT f.doc_id, f.source, f.tri, f.marked,
-       coalesce(t.n, 0) - e.n AS n_inside, e.n - 1 AS n_terminal,
-       coalesce(s.n, 0) - se.n AS s_inside, se.n - 1 AS s_terminal,
-       coalesce(c.n, 0) - ce.n AS c_inside, ce.n - 1 AS c_terminal, g.word IS NOT NULL AS fragment
+       coalesce(t.n, 0) - e.n_whole AS n_inside, e.n - 1 AS n_terminal,
+       coalesce(s.n, 0) - se.n_whole AS s_inside, se.n - 1 AS s_terminal,
+       coalesce(c.n, 0) - ce.n_whole AS c_inside, ce.n - 1 AS c_terminal, g.word IS NOT NULL AS fragment
 FROM (SELECT *, {CLASS} AS class FROM (SELECT *, {SHAPE} AS shape FROM finals)) f
 JOIN ends e ON f.tri = e.tri
 JOIN shape_ends se ON f.shape = se.shape
@@ -100,7 +103,7 @@ FROM judged
 """
 
 #: The statements in the order in which each is a view of the ones before.
-STEPS = {"prepared": PREPARED, "normal": NORMAL, "trigrams": TRIGRAMS, "finals": FINALS, "ends": ENDS, "shapes": SHAPES, "shape_ends": SHAPE_ENDS, "classes": CLASSES, "class_ends": CLASS_ENDS, "vocabulary": VOCABULARY, "fragments": FRAGMENTS, "judged": JUDGED, "verdict": VERDICT}
+STEPS = {"texts": TEXTS, "trigrams": TRIGRAMS, "finals": FINALS, "ends": ENDS, "shapes": SHAPES, "shape_ends": SHAPE_ENDS, "classes": CLASSES, "class_ends": CLASS_ENDS, "vocabulary": VOCABULARY, "fragments": FRAGMENTS, "judged": JUDGED, "verdict": VERDICT}
 
 
 def judge(documents: DataFrame) -> DataFrame:
