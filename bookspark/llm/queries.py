@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from bookspark.llm import contamination, splitting, truncation
+from bookspark.llm import contamination, encodings, lookalikes, markup, splitting, truncation
 from bookspark.session import table as t
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -14,6 +14,13 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 def queries() -> dict[str, Query]:
     return {
+        "p2_found": lambda s, d: lookalikes.found(t(s, d, "metadata"), t(s, d, "creators"), t(s, d, "chapters"), t(s, d, "warnings")),
+        "p2_canonical": lambda s, d: lookalikes.canonical_values(t(s, d, "metadata"), t(s, d, "creators"), t(s, d, "chapters")),
+        "p3_found": lambda s, d: encodings.found(t(s, d, "metadata"), t(s, d, "warnings")),
+        "p3_restored": lambda s, d: encodings.restore(t(s, d, "metadata"), t(s, d, "warnings")),
+        "p4_found": lambda s, d: markup.found(t(s, d, "metadata"), t(s, d, "works"), t(s, d, "chapters")),
+        "p4_clean": lambda s, d: markup.convert(t(s, d, "metadata"), t(s, d, "works"), t(s, d, "chapters")),
+        "p4_templates": lambda s, d: markup.templates(markup.values(t(s, d, "metadata"), t(s, d, "works"), t(s, d, "chapters"))),
         "p5_found": lambda s, d: splitting.found(t(s, d, "chapters"), t(s, d, "profiles")),
         "p5_pieces": lambda s, d: splitting.split_oversized(t(s, d, "chapters"), t(s, d, "profiles")),
         "p8_found": lambda s, d: contamination.found(t(s, d, "documents"), t(s, d, "benchmark")),
