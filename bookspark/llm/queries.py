@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from bookspark.llm import contamination, encodings, lookalikes, markup, packing, splitting, truncation
+from bookspark.llm import contamination, encodings, lookalikes, markup, names, packing, splitting, truncation
 from bookspark.session import table as t
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,6 +23,8 @@ def queries() -> dict[str, Query]:
         "p4_templates": lambda s, d: markup.templates(markup.values(t(s, d, "metadata"), t(s, d, "works"), t(s, d, "chapters"))),
         "p5_found": lambda s, d: splitting.found(t(s, d, "chapters"), t(s, d, "profiles")),
         "p5_pieces": lambda s, d: splitting.split_oversized(t(s, d, "chapters"), t(s, d, "profiles")),
+        "p6_found": lambda s, d: names.found(t(s, d, "creators"), t(s, d, "candidates")),
+        "p6_people": lambda s, d: names.link(t(s, d, "creators"), t(s, d, "candidates")),
         "p7_bins": lambda s, d: packing.fill(t(s, d, "documents"), t(s, d, "containers")),
         "p7_report": lambda s, d: packing.fill_report(t(s, d, "documents"), t(s, d, "containers")),
         "p8_found": lambda s, d: contamination.found(t(s, d, "documents"), t(s, d, "benchmark")),
