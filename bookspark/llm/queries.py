@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from bookspark.llm import contamination, encodings, lookalikes, markup, names, packing, splitting, truncation
+from bookspark.llm import contamination, encodings, lookalikes, markup, matching, names, packing, splitting, truncation
 from bookspark.session import table as t
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -14,6 +14,9 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 def queries() -> dict[str, Query]:
     return {
+        "p1_found": lambda s, d: matching.found(t(s, d, "metadata"), t(s, d, "candidates")),
+        "p1_matches": lambda s, d: matching.match(t(s, d, "metadata"), t(s, d, "candidates")),
+        "p1_reliability": lambda s, d: matching.reliability(t(s, d, "metadata"), t(s, d, "candidates")),
         "p2_found": lambda s, d: lookalikes.found(t(s, d, "metadata"), t(s, d, "creators"), t(s, d, "chapters"), t(s, d, "warnings")),
         "p2_canonical": lambda s, d: lookalikes.canonical_values(t(s, d, "metadata"), t(s, d, "creators"), t(s, d, "chapters")),
         "p3_found": lambda s, d: encodings.found(t(s, d, "metadata"), t(s, d, "warnings")),
