@@ -1,4 +1,4 @@
-"""Named queries over the test tables, each with its SQL twin."""
+"""Named queries over the test tables, each with its SQL twin where SQL can express it."""
 
 from __future__ import annotations
 
@@ -6,12 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-FLAGSHIP = "missing_fields"
+from bookspark.plans import documents, layers, relational, scalars
+
+FLAGSHIP = "agg_missing_fields"
+_ALL = scalars.QUERIES | relational.QUERIES | layers.QUERIES | documents.QUERIES
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {name: run for name, (run, _) in _ALL.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for name, (_, sql) in _ALL.items() if sql}
