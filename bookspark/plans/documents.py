@@ -1 +1,88 @@
-QUERIES = {}
+"""Queries that parse documents, with SQL twins where the markup is plain enough."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from bookspark.operators import packing
+from bookspark.session import table as t
+from bookspark.sources import archive, html, markdown, profiles
+
+
+def _pages(s, d):
+    return t(s, d, "chapters").select("chapter_id", "body_html").distinct()
+
+
+def element_counts(s, d):
+    n = html.nodes(_pages(s, d), F.col("chapter_id"), F.col("body_html"))
+    return n.where("kind = 'element'").groupBy("name").agg(F.count("*").alias("n"), F.count_distinct("doc").alias("n_docs"))
+
+
+ELEMENTS = r"SELECT lower(name) AS name, count(*) AS n, count(DISTINCT chapter_id) AS n_docs FROM (SELECT chapter_id, unnest(regexp_extract_all(body_html, '<([A-Za-z][A-Za-z0-9]*)[\s/>]', 1)) AS name FROM (SELECT DISTINCT chapter_id, body_html FROM chapters)) GROUP BY 1"
+
+
+def headings(s, d):
+    n = html.nodes(_pages(s, d), F.col("chapter_id"), F.col("body_html"))
+    h = html.subtree_text(n, ("h1", "h2", "h3"))
+    return h.groupBy("name").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("n_chars"))
+
+
+def tables(s, d):
+    n = html.nodes(_pages(s, d), F.col("chapter_id"), F.col("body_html"))
+    return html.linearize(html.table_cells(n))
+
+
+def id_moves(s, d):
+    n = html.nodes(_pages(s, d), F.col("chapter_id"), F.col("body_html"))
+    return html.relocate_ids(n)
+
+
+def markdown_blocks(s, d):
+    b = markdown.blocks(t(s, d, "works").select("ref", "description").distinct(), F.col("ref"), F.col("description"))
+    return markdown.chunks(b).groupBy("kind").agg(F.count("*").alias("n"), F.count_distinct("doc", "chunk").alias("n_chunks"))
+
+
+def written(s, d):
+    """An archive per book of its chapters, read back: entries and bytes agree."""
+    c = t(s, d, "chapters").select("book_id", "ord", "path", "body_html").where("path is not null").distinct()
+    first = c.groupBy("book_id", "path").agg(F.min_by("body_html", F.struct("ord", "body_html")).alias("body_html"), F.min("ord").alias("ord"))
+    books = archive.write_archives(first.select("book_id", "ord", "path", F.encode("body_html", "utf-8").alias("data")))
+    e = archive.entries(books).where("path <> 'mimetype'")
+    return e.groupBy("book_id").agg(F.count("*").alias("n_entries"), F.sum("size").alias("n_bytes"))
+
+
+WRITTEN = "SELECT book_id, count(*) AS n_entries, sum(strlen(body_html))::BIGINT AS n_bytes FROM (SELECT *, row_number() OVER (PARTITION BY book_id, path ORDER BY ord, body_html) AS rn FROM chapters WHERE path IS NOT NULL AND book_id IS NOT NULL) WHERE rn = 1 GROUP BY book_id"
+
+
+def isotonic(s, d):
+    """Tones of a label in order, pooled to a rising series with a gap of one; a label has at most 256 tones."""
+    from bookspark.plans.relational import histogram
+
+    def solve(batches):
+        import pandas as pd
+
+        for pdf in batches:
+            rows = [(label, float(x["n"]), round(y, 4), x["tone"]) for label, xs in pdf.itertuples(index=False) for x, y in zip(xs, packing.isotonic([float(x["n"]) for x in xs], [1.0] * len(xs), 1.0), strict=True)]
+            yield pd.DataFrame(rows, columns=["label", "n", "pooled", "tone"])
+
+    g = histogram(s, d).groupBy("label").agg(F.array_sort(F.collect_list(F.struct("tone", "n"))).alias("xs"))
+    return g.mapInPandas(solve, "label int, n double, pooled double, tone int")
+
+
+def panels(s, d):
+    """How many built-in profiles have each panel, and their mean chapter limit."""
+    return profiles.builtin(s).groupBy("panel").agg(F.count("*").alias("n"), F.max("chapter_kb").alias("most_kb"))
+
+
+PANELS = "SELECT * FROM (VALUES ('none', 1::BIGINT, NULL::INT), ('gray4', 2, 200), ('gray16', 14, 20480), ('color', 10, 20480)) v(panel, n, most_kb)"
+
+QUERIES = {
+    "src_elements": (element_counts, ELEMENTS),
+    "src_headings": (headings, None),
+    "xfm_tables": (tables, None),
+    "xfm_id_moves": (id_moves, None),
+    "src_markdown": (markdown_blocks, None),
+    "snk_archives": (written, WRITTEN),
+    "win_isotonic": (isotonic, None),
+    "mrg_panels": (panels, PANELS),
+}
