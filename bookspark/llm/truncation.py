@@ -23,6 +23,9 @@ TERMINAL, SURE = 0.01, 0.02
 #: What a field limit or a broken transfer may have left at the end.
 MARK = r"(?:\s*(?:\.\.\.|…|�|\[(?:…|\.\.\.)\]|</?\w*|&#?\w*))+\s*$"
 
+#: Of these, what no author writes: half a character, tag or reference.
+BROKEN = r"(?:�|</?\w*|&#?\w*)\s*$"
+
 #: Names and numbers stand for their kind; a blank line is a sign of its own.
 NORMAL = r"regexp_replace(regexp_replace(replace({0}, '\n\n', ' ¶ '), r'\p{{Lu}}\p{{M}}*\p{{Ll}}[^\s.,;:!?…)\]}}”“„]*', 'X'), r'[0-9]+', '0')"
 
@@ -38,10 +41,10 @@ GROUP BY tri
 
 #: The last words of each text; what the cut left is taken off. Only the tail is needed, which substring_index finds from the end.
 FINALS = rf"""
-SELECT doc_id, source, marked, regexp_extract(body, r'(\S+)\s*$', 1) AS last_word, concat_ws(' ', slice(w, size(w) - 2, 3)) AS tri
+SELECT doc_id, source, marked, broken, regexp_extract(body, r'(\S+)\s*$', 1) AS last_word, regexp_replace(concat_ws(' ', slice(w, size(w) - 2, 3)), r'(?<=[ (“„])\p{{Lu}}$', 'X') AS tri
 FROM (
   SELECT *, split(concat('^ ^ ', trim({NORMAL.format("body")})), r'\s+') AS w
-  FROM (SELECT doc_id, source, tail RLIKE r'{MARK}' AS marked, regexp_replace(tail, r'{MARK}', '') AS body
+  FROM (SELECT doc_id, source, tail RLIKE r'{MARK}' AS marked, tail RLIKE r'{BROKEN}' AS broken, regexp_replace(tail, r'{MARK}', '') AS body
         FROM (SELECT doc_id, source, substring_index(trim(' \n\r\t' FROM text), ' ', -12) AS tail FROM texts)))
 """
 
@@ -73,11 +76,19 @@ ENDS = "SELECT tri, count(*) AS n, count_if(NOT marked) AS n_whole FROM finals G
 SHAPES = f"SELECT {SHAPE} AS shape, sum(n) AS n FROM trigrams GROUP BY 1"
 SHAPE_ENDS = f"SELECT {SHAPE} AS shape, sum(n) AS n, sum(n_whole) AS n_whole FROM ends GROUP BY 1"
 
+#: How often a final trigram goes on inside texts: with more letters or a sign, apart from the end of a sentence, which an author may leave out (n), or in any way (n_all).
+LONGER = r"""
+SELECT f.tri, sum(CASE WHEN NOT t.ends THEN t.n ELSE 0 END) AS n, sum(t.n) AS n_all FROM (SELECT tri, substring_index(tri, ' ', 2) AS two FROM ends WHERE NOT tri RLIKE r'[.!?]["”“)]*$') f
+JOIN (SELECT tri, n, substring_index(tri, ' ', 2) AS two, tri RLIKE r'[.!?…�]["”“)]*$' AS ends FROM trigrams) t
+  ON f.two = t.two AND startswith(t.tri, f.tri) AND t.tri <> f.tri
+GROUP BY f.tri
+"""
+
 CLASSES = f"SELECT {CLASS} AS class, sum(n) AS n FROM shapes GROUP BY 1"
 CLASS_ENDS = f"SELECT {CLASS} AS class, sum(n) AS n, sum(n_whole) AS n_whole FROM shape_ends GROUP BY 1"
 
 JUDGED = f"""
-SELECT f.doc_id, f.source, f.tri, f.marked,
+SELECT f.doc_id, f.source, f.tri, f.marked, f.broken, coalesce(l.n, 0) AS n_longer, coalesce(l.n_all, 0) AS n_longer_all,
        coalesce(t.n, 0) - e.n_whole AS n_inside, e.n - 1 AS n_terminal,
        coalesce(s.n, 0) - se.n_whole AS s_inside, se.n - 1 AS s_terminal,
        coalesce(c.n, 0) - ce.n_whole AS c_inside, ce.n - 1 AS c_terminal, g.word IS NOT NULL AS fragment
@@ -85,6 +96,7 @@ FROM (SELECT *, {CLASS} AS class FROM (SELECT *, {SHAPE} AS shape FROM finals))
 JOIN ends e ON f.tri = e.tri
 JOIN shape_ends se ON f.shape = se.shape
 JOIN class_ends ce ON f.class = ce.class
+LEFT JOIN longer l ON f.tri = l.tri
 LEFT JOIN trigrams t ON f.tri = t.tri
 LEFT JOIN shapes s ON f.shape = s.shape
 LEFT JOIN classes c ON f.class = c.class
@@ -93,7 +105,10 @@ LEFT JOIN fragments g ON f.last_word = g.word
 
 VERDICT = f"""
 SELECT *,
-  CASE WHEN n_terminal >= 5 AND n_terminal >= {SURE} * (n_inside + n_terminal) THEN false
+  CASE WHEN broken OR fragment AND n_longer_all > n_terminal THEN true
+       WHEN n_terminal >= 5 AND n_terminal >= {SURE} * (n_inside + n_longer + n_terminal) THEN false
+       WHEN n_inside >= 20 * {SUPPORT} AND n_terminal < 0.1 * {TERMINAL} * n_inside THEN true
+       WHEN n_longer >= {SUPPORT} AND n_terminal < {TERMINAL} * (n_inside + n_longer) THEN true
        WHEN fragment THEN true
        WHEN s_inside >= {SUPPORT} AND s_terminal < {TERMINAL} * (s_inside + s_terminal) THEN true
        WHEN n_inside >= {SUPPORT} AND n_terminal < {TERMINAL} * (n_inside + n_terminal) AND s_terminal < {SURE} * (s_inside + s_terminal) THEN true
@@ -103,7 +118,7 @@ FROM judged
 """
 
 #: The statements in the order in which each is a view of the ones before.
-STEPS = {"texts": TEXTS, "trigrams": TRIGRAMS, "finals": FINALS, "ends": ENDS, "shapes": SHAPES, "shape_ends": SHAPE_ENDS, "classes": CLASSES, "class_ends": CLASS_ENDS, "vocabulary": VOCABULARY, "fragments": FRAGMENTS, "judged": JUDGED, "verdict": VERDICT}
+STEPS = {"texts": TEXTS, "trigrams": TRIGRAMS, "finals": FINALS, "ends": ENDS, "shapes": SHAPES, "longer": LONGER, "shape_ends": SHAPE_ENDS, "classes": CLASSES, "class_ends": CLASS_ENDS, "vocabulary": VOCABULARY, "fragments": FRAGMENTS, "judged": JUDGED, "verdict": VERDICT}
 
 
 def judge(documents: DataFrame) -> DataFrame:
