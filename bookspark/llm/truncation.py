@@ -5,7 +5,8 @@ is frequent inside but almost never terminal marks a cut. Where the final
 trigram is too rare to tell, its shape (short words, punctuation, case and
 digits kept, other words reduced to a sign) is judged the same way, then the
 kind of its last word, each time leaving out the text's own end; and a final word that no text holds, but that begins a
-word of other texts, is a fragment.
+word of other texts, is a fragment. A text without a final stop whose length
+is the limit of its source's field is cut as well.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ from pyspark.sql import DataFrame
 SUPPORT = 50
 #: Share of terminal occurrences below which a trigram is no end, and the one from which it surely is.
 TERMINAL, SURE = 0.01, 0.02
+#: Texts of one length in a source, and their share of it, from which the length is a limit.
+PILE, PILE_SHARE = 10, 0.015
 
 #: What a field limit or a broken transfer may have left at the end.
 MARK = r"(?:\s*(?:\.\.\.|…|�|\[(?:…|\.\.\.)\]|</?\w*|&#?\w*))+\s*$"
@@ -41,11 +44,11 @@ GROUP BY tri
 
 #: The last words of each text; what the cut left is taken off. Only the tail is needed, which substring_index finds from the end.
 FINALS = rf"""
-SELECT doc_id, source, marked, broken, regexp_extract(body, r'(\S+)\s*$', 1) AS last_word, regexp_replace(concat_ws(' ', slice(w, size(w) - 2, 3)), r'(?<=[ (“„])\p{{Lu}}$', 'X') AS tri
+SELECT doc_id, source, marked, broken, n_chars, n_bytes, regexp_extract(body, r'(\S+)\s*$', 1) AS last_word, regexp_replace(concat_ws(' ', slice(w, size(w) - 2, 3)), r'(?<=[ (“„])\p{{Lu}}$', 'X') AS tri
 FROM (
   SELECT *, split(concat('^ ^ ', trim({NORMAL.format("body")})), r'\s+') AS w
-  FROM (SELECT doc_id, source, tail RLIKE r'{MARK}' AS marked, tail RLIKE r'{BROKEN}' AS broken, regexp_replace(tail, r'{MARK}', '') AS body
-        FROM (SELECT doc_id, source, substring_index(trim(' \n\r\t' FROM text), ' ', -12) AS tail FROM texts)))
+  FROM (SELECT doc_id, source, n_chars, n_bytes, tail RLIKE r'{MARK}' AS marked, tail RLIKE r'{BROKEN}' AS broken, regexp_replace(tail, r'{MARK}', '') AS body
+        FROM (SELECT doc_id, source, length(text) AS n_chars, octet_length(text) AS n_bytes, substring_index(trim(' \n\r\t' FROM text), ' ', -12) AS tail FROM texts)))
 """
 
 #: Words of up to three letters stay; so do signs. SHAPE of a column tri.
@@ -76,6 +79,15 @@ ENDS = "SELECT tri, count(*) AS n, count_if(NOT marked) AS n_whole FROM finals G
 SHAPES = f"SELECT {SHAPE} AS shape, sum(n) AS n FROM trigrams GROUP BY 1"
 SHAPE_ENDS = f"SELECT {SHAPE} AS shape, sum(n) AS n, sum(n_whole) AS n_whole FROM ends GROUP BY 1"
 
+#: Lengths that so many texts of a source share that its field must have that limit.
+PILES = f"""
+SELECT source, unit, len FROM (
+  SELECT source, unit, len, count(*) AS n, sum(count(*)) OVER (PARTITION BY source, unit) AS total
+  FROM (SELECT coalesce(source, '') AS source, inline(array(struct('c' AS unit, n_chars AS len), struct('b' AS unit, n_bytes AS len))) FROM finals)
+  GROUP BY source, unit, len)
+WHERE n >= {PILE} AND n >= {PILE_SHARE} * total
+"""
+
 #: How often a final trigram goes on inside texts: with more letters or a sign, apart from the end of a sentence, which an author may leave out (n), or in any way (n_all).
 LONGER = r"""
 SELECT f.tri, sum(CASE WHEN NOT t.ends THEN t.n ELSE 0 END) AS n, sum(t.n) AS n_all FROM (SELECT tri, substring_index(tri, ' ', 2) AS two FROM ends WHERE NOT tri RLIKE r'[.!?]["”“)]*$') f
@@ -91,7 +103,7 @@ JUDGED = f"""
 SELECT f.doc_id, f.source, f.tri, f.marked, f.broken, coalesce(l.n, 0) AS n_longer, coalesce(l.n_all, 0) AS n_longer_all,
        coalesce(t.n, 0) - e.n_whole AS n_inside, e.n - 1 AS n_terminal,
        coalesce(s.n, 0) - se.n_whole AS s_inside, se.n - 1 AS s_terminal,
-       coalesce(c.n, 0) - ce.n_whole AS c_inside, ce.n - 1 AS c_terminal, g.word IS NOT NULL AS fragment
+       coalesce(c.n, 0) - ce.n_whole AS c_inside, ce.n - 1 AS c_terminal, g.word IS NOT NULL AS fragment, (pc.len IS NOT NULL OR pb.len IS NOT NULL) AND NOT f.tri RLIKE r'[.!?]["”“)]*$' AS at_limit
 FROM (SELECT *, {CLASS} AS class FROM (SELECT *, {SHAPE} AS shape FROM finals)) f
 JOIN ends e ON f.tri = e.tri
 JOIN shape_ends se ON f.shape = se.shape
@@ -101,11 +113,13 @@ LEFT JOIN trigrams t ON f.tri = t.tri
 LEFT JOIN shapes s ON f.shape = s.shape
 LEFT JOIN classes c ON f.class = c.class
 LEFT JOIN fragments g ON f.last_word = g.word
+LEFT JOIN piles pc ON pc.unit = 'c' AND coalesce(f.source, '') = pc.source AND f.n_chars = pc.len
+LEFT JOIN piles pb ON pb.unit = 'b' AND coalesce(f.source, '') = pb.source AND f.n_bytes = pb.len
 """
 
 VERDICT = f"""
 SELECT *,
-  CASE WHEN broken OR fragment AND n_longer_all > n_terminal THEN true
+  CASE WHEN broken OR at_limit OR fragment AND n_longer_all > n_terminal THEN true
        WHEN n_terminal >= 5 AND n_terminal >= {SURE} * (n_inside + n_longer + n_terminal) THEN false
        WHEN n_inside >= 20 * {SUPPORT} AND n_terminal < 0.1 * {TERMINAL} * n_inside THEN true
        WHEN n_longer >= {SUPPORT} AND n_terminal < {TERMINAL} * (n_inside + n_longer) THEN true
@@ -118,7 +132,7 @@ FROM judged
 """
 
 #: The statements in the order in which each is a view of the ones before.
-STEPS = {"texts": TEXTS, "trigrams": TRIGRAMS, "finals": FINALS, "ends": ENDS, "shapes": SHAPES, "longer": LONGER, "shape_ends": SHAPE_ENDS, "classes": CLASSES, "class_ends": CLASS_ENDS, "vocabulary": VOCABULARY, "fragments": FRAGMENTS, "judged": JUDGED, "verdict": VERDICT}
+STEPS = {"texts": TEXTS, "trigrams": TRIGRAMS, "finals": FINALS, "ends": ENDS, "shapes": SHAPES, "piles": PILES, "longer": LONGER, "shape_ends": SHAPE_ENDS, "classes": CLASSES, "class_ends": CLASS_ENDS, "vocabulary": VOCABULARY, "fragments": FRAGMENTS, "judged": JUDGED, "verdict": VERDICT}
 
 
 def judge(documents: DataFrame) -> DataFrame:
