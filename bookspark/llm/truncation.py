@@ -16,6 +16,8 @@ import uuid
 
 from pyspark.sql import DataFrame
 
+from bookspark.session import checkpointed
+
 #: Occurrences from which a level speaks for itself.
 SUPPORT = 50
 #: Share of terminal occurrences below which a trigram is no end, and the one from which it surely is.
@@ -149,6 +151,8 @@ def judge(documents: DataFrame) -> DataFrame:
     for step, query in STEPS.items():
         own = re.sub(r"\b(FROM|JOIN) (\w+)", lambda m: f"{m[1]} {names.get(m[2], m[2])}", query)
         out = spark.sql(own)
+        if step == "finals":  # short, and read by five later steps
+            out = checkpointed(out)
         out.createOrReplaceTempView(names[step])
     return out
 
