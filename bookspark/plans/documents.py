@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from bookspark.operators import packing
+from bookspark.operators import packing, transforms
 from bookspark.session import table as t
 from bookspark.sources import archive, html, markdown, profiles
 
@@ -76,7 +76,14 @@ def panels(s, d):
 
 PANELS = "SELECT * FROM (VALUES ('none', 1::BIGINT, NULL::INT), ('gray4', 2, 200), ('gray16', 14, 20480), ('color', 10, 20480)) v(panel, n, most_kb)"
 
+def fitted(s, d):
+    """Every chapter rewritten for a small reader: how often each step applied."""
+    return transforms.step_counts(transforms.transform(_pages(s, d), F.col("chapter_id"), F.col("body_html")))
+
+
+
 QUERIES = {
+    "xfm_fitted": (fitted, None),
     "src_elements": (element_counts, ELEMENTS),
     "src_headings": (headings, None),
     "xfm_tables": (tables, None),
