@@ -2,28 +2,25 @@
 
 Names are parsed into tokens; where each token mostly stands tells surnames
 from given names. A symmetric-delete index over the surnames finds those one
-edit apart. Within the names of one surname the given names are aligned by
-optimal assignment that permits initials, nicknames and slips, and each
-spelling joins the one person it fits.
+edit apart. Names of such surnames meet by keys that all given names that
+agree share; these are aligned with initials, nicknames and slips, and each
+spelling joins the one person it fits, in rounds.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
-from collections import defaultdict
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bookspark.llm import lookalikes
+from bookspark.session import checkpointed
 
 PARSED = "name string, n bigint, org string, comma int, tokens array<string>"
-MEMBERS = "name string, n bigint, person string"
-#: Distinct spellings of one surname above which the group is split by the initial of the first given name.
-HOT = 20_000
 
 # fixed values: what is no part of a name, what stands between given name and surname, words of organisations
 AFFIXES = frozenset("by author authors ed eds edited editor translator trans ill illustrator narrator dr prof professor rev reverend sir dame mr mrs ms miss herr frau mme ltd inc llc gmbh co the jr sr phd md".split())
@@ -152,48 +149,6 @@ def align(a: tuple[str, ...], b: tuple[str, ...], known: dict[str, int] | None =
     return total / len(short)
 
 
-def people(forms: list[tuple[str, int, str, str, tuple[str, ...]]], frequency: dict[str, int], known: dict[str, int]) -> dict[str, int]:
-    """Spelling to person for (name, count, organisation, surname, given names) of one surname and its slips.
-
-    Full forms come first and make the persons, so that an initial or a left
-    out name never joins two of them; a form that fits several goes to the one
-    that is twice as frequent as the next, else it stays alone.
-    """
-    signatures: dict[tuple, list] = defaultdict(lambda: [0, []])
-    for name, n, org, surname, given in forms:
-        s = signatures[org, surname, given]
-        s[0] += n
-        s[1].append(name)
-    order = sorted(signatures.items(), key=lambda kv: (-sum(len(g) > 1 for g in kv[0][2]), -len(kv[0][2]), -kv[1][0], kv[0]))
-    persons: list[dict] = []
-    out: dict[str, int] = {}
-    for (org, surname, given), (n, names) in order:
-        fits = []
-        for i, p in enumerate(persons):
-            if p["org"] != org:
-                continue
-            if p["surname"] != surname:
-                lo, hi = sorted((frequency.get(p["surname"], 1), frequency.get(surname, 1)))
-                if surname not in p["spelt"] and (len(surname) < 5 or not slip(surname, p["surname"])) or (lo >= COMMON and lo * 2 > hi and surname not in p["spelt"]):
-                    continue
-            if (score := 1.0 if org and not given and not p["given"] else align(given, p["given"], known)) > 0:
-                exact = p["surname"] == surname
-                fits.append((score >= 0.9, exact, p["n"], i))
-        fits.sort(reverse=True)
-        best = [f for f in fits if f[:2] == fits[0][:2]]
-        if best and (len(best) == 1 or best[0][2] >= 2 * best[1][2]):
-            i = best[0][3]
-            persons[i]["n"] += n
-            persons[i]["spelt"].add(surname)
-            persons[i]["surname"] = max(persons[i]["surname"], surname, key=lambda x: (frequency.get(x, 1), x))
-        else:
-            i = len(persons)
-            persons.append({"org": org, "surname": surname, "spelt": {surname}, "given": given, "n": n})
-        for name in names:
-            out[name] = i
-    return out
-
-
 def spellings(creators: DataFrame, candidates: DataFrame) -> DataFrame:
     """Distinct names of both sources with their counts; blanks and nulls left out."""
     both = creators.select("name").unionByName(candidates.select(F.explode("author_name").alias("name")))
@@ -242,16 +197,105 @@ def surname_classes(split: DataFrame) -> DataFrame:
     return joined.select("surname", "frequency", head.alias("head"))
 
 
-def _group(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def given_keys(given: tuple[str, ...]) -> list[tuple[str, bool]]:
+    """(key, whether it is of an initial): any two lists that ``align`` share a key.
+
+    Two full names that agree share a formal form or an entry of its
+    symmetric-delete neighbourhood. Without such a pair the first names agree
+    by an initial, so one of the two keys is of an initial.
+    """
+    if not given:
+        return [("", True)]
+    out = {("i" + x[0], len(given[0]) == 1) for x in formal(given[0])}
+    for g in given:
+        for x in formal(g) if len(g) > 1 else ():
+            out |= {("w" + x, True), ("w" + _DIGRAPH.sub(r"\1", x), True)}
+            if len(x) > 2:
+                out |= {("w" + x[:k] + x[k + 1:], True) for k in range(len(x))}
+    return sorted(out)
+
+
+def agree(org: str, a: tuple[str, ...], a_n: list[int], b: tuple[str, ...], b_n: list[int]) -> float:
+    """Agreement of the given names of two signatures, or of two organisations without any."""
+    if org and not a and not b:
+        return 1.0
+    return align(a, b, dict(zip(a, a_n, strict=True)) | dict(zip(b, b_n, strict=True)))
+
+
+def _keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        rows = []
-        for head, part, members in pdf.itertuples(index=False):
-            forms = [(r["name"], int(r["n"]), r["org"], r["surname"], tuple(r["given"])) for r in members]
-            frequency = {r["surname"]: int(r["frequency"]) for r in members}
-            known = {g: int(c) for r in members for g, c in zip(r["given"], r["given_n"], strict=True)}
-            of = people(forms, frequency, known)
-            rows += [(name, n, f"{head}:{part}:{of[name]}") for name, n, *_ in forms]
-        yield pd.DataFrame(rows, columns=["name", "n", "person"])
+        rows = [(sig, k, one) for sig, given in pdf[["sig", "given"]].itertuples(index=False) for k, one in given_keys(tuple(given))]
+        yield pd.DataFrame(rows, columns=["sig", "key", "one"])
+
+
+def _agree(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        score = [agree(o, tuple(a), list(an), tuple(b), list(bn)) for o, a, an, b, bn in pdf[["org", "given", "given_n", "f_given", "f_given_n"]].itertuples(index=False)]
+        yield pdf.assign(score=pd.Series(score, index=pdf.index, dtype="float64"))
+
+
+def scored(pairs: DataFrame) -> DataFrame:
+    """The pairs of org, given, given_n with f_given, f_given_n that agree, and how well."""
+    return pairs.mapInPandas(_agree, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pairs.schema) + ", score double").where("score > 0")
+
+
+def signatures(split: DataFrame, counted: DataFrame, own: DataFrame) -> DataFrame:
+    """Each (organisation, surname, given names) once, with its rank: full forms first, then the frequent ones."""
+    g = split.join(counted, "name").groupBy("org", "surname", "given").agg(F.sum("n").alias("n"), F.first("given_n").alias("given_n"))
+    full = F.size(F.filter("given", lambda x: F.length(x) > 1))
+    return g.join(own, "surname").withColumn("sig", signature()).withColumn("rank", F.struct((-full).alias("full"), (-F.size("given")).alias("k"), (-F.col("n")).alias("n"), F.col("sig")))
+
+
+def signature() -> Column:
+    return F.concat_ws("|", "org", "surname", F.concat_ws(" ", "given"))
+
+
+def rivals(sigs: DataFrame, related: DataFrame) -> DataFrame:
+    """(u, v) of every two signatures that may be one person, v of the earlier rank.
+
+    A join on surname and key of given names, so no group of a surname is
+    ever held in one place.
+    """
+    keys = checkpointed(sigs.select("sig", "given").mapInPandas(_keys, "sig string, key string, one boolean"))
+    side = sigs.select("sig", "org", "surname").join(keys, "sig")
+    a = side.select("org", "surname", "key", F.col("sig").alias("u"), F.col("one").alias("u_one"))
+    b = side.join(related, "surname").select("org", F.col("other").alias("surname"), "key", F.col("sig").alias("v"), F.col("one").alias("v_one"))
+    near = a.join(b, ["org", "surname", "key"]).where("(u_one or v_one) and u <> v").select("u", "v").distinct()
+    ua = sigs.select(F.col("sig").alias("u"), "org", "given", "given_n", F.col("rank").alias("u_rank"))
+    vb = sigs.select(F.col("sig").alias("v"), F.col("given").alias("f_given"), F.col("given_n").alias("f_given_n"), F.col("rank").alias("v_rank"))
+    both = near.join(ua, "u").join(vb, "v").where("v_rank < u_rank").drop("u_rank", "v_rank")
+    return scored(both).select("u", "v")
+
+
+def persons(sigs: DataFrame, edges: DataFrame) -> DataFrame:
+    """sig, person: each signature in its rank joins the one person it fits, or makes a new one.
+
+    Full forms come first and make the persons, so that an initial or a left
+    out name never joins two of them; a form that fits several goes to the one
+    that is twice as frequent as the next, else it stays alone. What a
+    signature does depends only on its earlier rivals, so in each round all
+    of those decide whose rivals have.
+    """
+    founder = [F.col("sig").alias("person"), F.col("given").alias("f_given"), F.col("given_n").alias("f_given_n")]
+    known = ["sig", "surname", "frequency", "n"]
+    edges = checkpointed(edges)
+    state = checkpointed(sigs.join(edges.select(F.col("u").alias("sig")).distinct(), "sig", "left_anti").select(*known, *founder))
+    u_side = sigs.select(F.col("sig").alias("u"), "org", F.col("surname").alias("u_surname"), "given", "given_n")
+    order = Window.partitionBy("u").orderBy(F.desc("good"), F.desc("exact"), F.desc("pn"), F.desc("person"))
+    while not edges.isEmpty():
+        look = edges.join(state.withColumnRenamed("sig", "v"), "v", "left")
+        ready = look.groupBy("u").agg(F.max(F.col("person").isNull()).alias("waits")).where("not waits").select("u")
+        seen = look.join(ready, "u").groupBy("u", "person").agg(F.sum("n").alias("pn"), F.max(F.struct("frequency", "surname")).alias("top"), F.first("f_given").alias("f_given"), F.first("f_given_n").alias("f_given_n"))
+        fits = scored(seen.join(u_side, "u")).select("u", "person", "pn", "f_given", "f_given_n", (F.col("score") >= 0.9).alias("good"), (F.col("top.surname") == F.col("u_surname")).alias("exact"))
+        two = fits.withColumn("at", F.row_number().over(order)).where("at <= 2")
+        pick = two.groupBy(F.col("u").alias("sig")).agg(*[F.max(F.when(F.col("at") == k, F.struct("good", "exact", "pn", "person", "f_given", "f_given_n"))).alias(f"b{k}") for k in (1, 2)])
+        joins = F.col("b2").isNull() | (F.col("b1.good") != F.col("b2.good")) | (F.col("b1.exact") != F.col("b2.exact")) | (F.col("b1.pn") >= 2 * F.col("b2.pn"))
+        joined = pick.where(joins).select("sig", "b1.person", "b1.f_given", "b1.f_given_n")
+        new = sigs.join(ready.withColumnRenamed("u", "sig"), "sig").join(joined.withColumnRenamed("f_given", "g").withColumnRenamed("f_given_n", "c").withColumnRenamed("person", "p"), "sig", "left")
+        new = checkpointed(new.select(*known, F.coalesce("p", "sig").alias("person"), F.coalesce("g", "given").alias("f_given"), F.coalesce("c", "given_n").alias("f_given_n")))
+        edges = checkpointed(edges.join(new.select(F.col("sig").alias("u")), "u", "left_anti"))
+        state = checkpointed(state.unionByName(new).coalesce(12))
+    return state.select("sig", "person")
 
 
 def link(creators: DataFrame, candidates: DataFrame) -> DataFrame:
@@ -265,20 +309,20 @@ def link(creators: DataFrame, candidates: DataFrame) -> DataFrame:
     parsed = names.mapInPandas(_parse, PARSED)
     filed = creators.where("file_as like '%,%'").groupBy(F.col("file_as").alias("name")).agg(F.count("*").alias("n")).mapInPandas(_parse, PARSED)
     role = roles(parsed, filed)
-    split = split_surname(parsed, role)
+    split = checkpointed(split_surname(parsed, role))
     classes = surname_classes(split)
     given_n = role.select(F.col("token").alias("g"), F.col("given_spellings"))
     counted = (
         split.select("name", F.posexplode_outer("given").alias("i", "g")).join(given_n, "g", "left")
         .groupBy("name").agg(F.expr("transform(array_sort(collect_list(struct(i, g, coalesce(given_spellings, 0L) as c))), x -> x.c)").alias("given_n"))
     )
-    wide = split.join(classes, "surname").join(counted.select("name", "given_n"), "name").withColumn("given_n", F.slice("given_n", 1, F.greatest(F.size("given"), F.lit(1)))).withColumn("given_n", F.when(F.size("given") == 0, F.expr("cast(array() as array<bigint>)")).otherwise(F.col("given_n")))
-    sizes = wide.groupBy("head").agg(F.count("*").alias("spellings"))
-    initial = F.when(F.size("given") > 0, F.left(F.element_at("given", 1), F.lit(1))).otherwise(F.lit(""))
-    keyed = wide.join(sizes, "head").withColumn("part", F.when(F.col("spellings") > HOT, initial).otherwise(F.lit("")))
+    counted = counted.join(split.select("name", F.size("given").alias("k")), "name").select("name", F.expr("slice(given_n, 1, k)").alias("given_n"))
+    related = classes.where("surname <> head").select("surname", F.col("head").alias("other"))
+    related = related.unionByName(related.select(F.col("other").alias("surname"), F.col("surname").alias("other"))).unionByName(classes.select("surname", F.col("surname").alias("other")))
+    sigs = checkpointed(signatures(split, counted, classes.select("surname", "frequency")))
+    of = persons(sigs, rivals(sigs, related))
     alone = parsed.where("size(tokens) = 0").select("name", "n", F.concat(F.lit("::"), "name").alias("person"))
-    groups = keyed.groupBy("head", "part").agg(F.collect_list(F.struct("name", "n", "org", "surname", "given", "frequency", "given_n")).alias("members"))
-    return groups.mapInPandas(_group, MEMBERS).unionByName(alone)
+    return split.withColumn("sig", signature()).join(of, "sig").select("name", "n", "person").unionByName(alone)
 
 
 def found(creators: DataFrame, candidates: DataFrame) -> DataFrame:
