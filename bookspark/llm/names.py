@@ -178,23 +178,30 @@ def split_surname(parsed: DataFrame, role: DataFrame) -> DataFrame:
     return by_name.select("name", "n", "org", F.expr("element_at(filter(t, x -> x.i = top.i), 1).token").alias("surname"), F.expr("transform(filter(t, x -> x.i <> top.i), x -> x.token)").alias("given"))
 
 
-def surname_classes(split: DataFrame) -> DataFrame:
-    """surname, head, frequency (in spellings): each surname with the most frequent one among itself and those one edit away.
+def surname_frequency(split: DataFrame) -> DataFrame:
+    """surname, frequency (in spellings)."""
+    return split.groupBy("surname").agg(F.count("*").alias("frequency"))
+
+
+def surname_pairs(own: DataFrame) -> DataFrame:
+    """(surname, other) both ways: each surname with itself and every one an edit away that may be a slip of it.
 
     The symmetric-delete index holds each surname of five letters or more with
     every one of its letters left out; two that share an entry are compared.
+    Two established surnames of like frequency are two surnames.
     """
-    own = split.groupBy("surname").agg(F.count("*").alias("frequency"))
     long = own.where("length(surname) >= 5")
     deletes = F.array_distinct(F.concat(F.array("surname"), F.expr("transform(sequence(1, length(surname)), i -> concat(left(surname, i - 1), substring(surname, i + 1)))")))
     index = long.select("surname", "frequency", F.explode(deletes).alias("entry"))
     a, b = index.alias("a"), index.alias("b")
-    close = (F.levenshtein("a.surname", "b.surname") <= 1) | ((F.length("a.surname") == F.length("b.surname")) & (F.array_sort(F.split("a.surname", "")) == F.array_sort(F.split("b.surname", ""))))
-    pairs = a.join(b, F.col("a.entry") == F.col("b.entry")).where((F.col("a.surname") != F.col("b.surname")) & (F.col("b.frequency") >= F.col("a.frequency")) & close)
-    best = pairs.groupBy(F.col("a.surname").alias("surname")).agg(F.max(F.struct(F.col("b.frequency"), F.col("b.surname").alias("s"))).alias("best"))
-    joined = own.join(best, "surname", "left")
-    head = F.when(F.col("best").isNull() | ((F.col("best.frequency") == F.col("frequency")) & (F.col("best.s") < F.col("surname"))), F.col("surname")).otherwise(F.col("best.s"))
-    return joined.select("surname", "frequency", head.alias("head"))
+    pairs = a.join(b, F.col("a.entry") == F.col("b.entry")).where(F.col("a.surname") != F.col("b.surname")).select(F.col("a.surname").alias("surname"), F.col("b.surname").alias("other"), F.least("a.frequency", "b.frequency").alias("lo"), F.greatest("a.frequency", "b.frequency").alias("hi")).distinct()
+    near = pairs.where((F.col("lo") < COMMON) | (F.col("lo") * 2 <= F.col("hi"))).mapInPandas(_slips, "surname string, other string")
+    return near.unionByName(own.select("surname", F.col("surname").alias("other")))
+
+
+def _slips(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        yield pdf.loc[[slip(a, b) for a, b in pdf[["surname", "other"]].itertuples(index=False)], ["surname", "other"]]
 
 
 def given_keys(given: tuple[str, ...]) -> list[tuple[str, bool]]:
@@ -310,17 +317,15 @@ def link(creators: DataFrame, candidates: DataFrame) -> DataFrame:
     filed = creators.where("file_as like '%,%'").groupBy(F.col("file_as").alias("name")).agg(F.count("*").alias("n")).mapInPandas(_parse, PARSED)
     role = roles(parsed, filed)
     split = checkpointed(split_surname(parsed, role))
-    classes = surname_classes(split)
+    own = surname_frequency(split)
     given_n = role.select(F.col("token").alias("g"), F.col("given_spellings"))
     counted = (
         split.select("name", F.posexplode_outer("given").alias("i", "g")).join(given_n, "g", "left")
         .groupBy("name").agg(F.expr("transform(array_sort(collect_list(struct(i, g, coalesce(given_spellings, 0L) as c))), x -> x.c)").alias("given_n"))
     )
     counted = counted.join(split.select("name", F.size("given").alias("k")), "name").select("name", F.expr("slice(given_n, 1, k)").alias("given_n"))
-    related = classes.where("surname <> head").select("surname", F.col("head").alias("other"))
-    related = related.unionByName(related.select(F.col("other").alias("surname"), F.col("surname").alias("other"))).unionByName(classes.select("surname", F.col("surname").alias("other")))
-    sigs = checkpointed(signatures(split, counted, classes.select("surname", "frequency")))
-    of = persons(sigs, rivals(sigs, related))
+    sigs = checkpointed(signatures(split, counted, own))
+    of = persons(sigs, rivals(sigs, surname_pairs(own)))
     alone = parsed.where("size(tokens) = 0").select("name", "n", F.concat(F.lit("::"), "name").alias("person"))
     return split.withColumn("sig", signature()).join(of, "sig").select("name", "n", "person").unionByName(alone)
 
