@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from bookspark.llm import lookalikes
 from bookspark.session import checkpointed
 
-PARSED = "name string, n bigint, org string, comma int, tokens array<string>"
+PARSED = "name string, n bigint, typed bigint, filed bigint, org string, comma int, tokens array<string>"
 
 # fixed values: what is no part of a name, what stands between given name and surname, words of organisations
 AFFIXES = frozenset("by author authors ed eds edited editor translator trans ill illustrator narrator dr prof professor rev reverend sir dame mr mrs ms miss herr frau mme ltd inc llc gmbh co the jr sr phd md".split())
@@ -150,20 +150,25 @@ def align(a: tuple[str, ...], b: tuple[str, ...], known: dict[str, int] | None =
 
 
 def spellings(creators: DataFrame, candidates: DataFrame) -> DataFrame:
-    """Distinct names of both sources with their counts; blanks and nulls left out."""
-    both = creators.select("name").unionByName(candidates.select(F.explode("author_name").alias("name")))
-    return both.where("name is not null and trim(name) <> ''").groupBy("name").agg(F.count("*").alias("n"))
+    """Distinct names with their counts as typed (in either name column) and as filed (in file_as); blanks and nulls left out."""
+
+    def one(names: DataFrame, typed: int) -> DataFrame:
+        return names.select("name", F.lit(typed).alias("typed"), F.lit(1 - typed).alias("filed"))
+
+    every = one(creators.select("name"), 1).unionByName(one(candidates.select(F.explode("author_name").alias("name")), 1)).unionByName(one(creators.select(F.col("file_as").alias("name")), 0))
+    return every.where("name is not null and trim(name) <> ''").groupBy("name").agg(F.count("*").alias("n"), F.sum("typed").alias("typed"), F.sum("filed").alias("filed"))
 
 
 def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        rows = [(name, n, *parse(name)) for name, n in pdf[["name", "n"]].itertuples(index=False)]
-        yield pd.DataFrame(rows, columns=["name", "n", "org", "comma", "tokens"])
+        rows = [(name, n, typed, filed, *parse(name)) for name, n, typed, filed in pdf[["name", "n", "typed", "filed"]].itertuples(index=False)]
+        yield pd.DataFrame(rows, columns=["name", "n", "typed", "filed", "org", "comma", "tokens"])
 
 
-def roles(parsed: DataFrame, sorted_forms: DataFrame) -> DataFrame:
-    """Per token how often it stands as a surname and as a given name; forms with a comma tell most."""
-    every = parsed.select("n", "org", "comma", "tokens").unionByName(sorted_forms.select("n", "org", "comma", "tokens"))
+def roles(parsed: DataFrame) -> DataFrame:
+    """Per token how often it stands as a surname and as a given name; forms with a comma tell most. Filed forms without one tell nothing."""
+    typed = parsed.where("typed > 0").select(F.col("typed").alias("n"), "org", "comma", "tokens")
+    every = typed.unionByName(parsed.where("filed > 0 and name like '%,%'").select(F.col("filed").alias("n"), "org", "comma", "tokens"))
     at = every.where("org = '' and size(tokens) > 1").select("n", "comma", F.size("tokens").alias("k"), F.posexplode("tokens").alias("i", "token")).where("length(token) > 1")
     weight = F.when(F.col("comma") > 0, 3).otherwise(1) * F.col("n")
     last = F.when(F.col("comma") > 0, F.col("i") < F.col("comma")).otherwise(F.col("i") == F.col("k") - 1)
@@ -172,15 +177,15 @@ def roles(parsed: DataFrame, sorted_forms: DataFrame) -> DataFrame:
 
 def split_surname(parsed: DataFrame, role: DataFrame) -> DataFrame:
     """name, n, org, surname, given: the token that is most of a surname, and the others in order."""
-    tok = parsed.where("size(tokens) > 0").select("name", "n", "org", "comma", F.posexplode("tokens").alias("i", "token"))
+    tok = parsed.where("size(tokens) > 0").select("name", "n", "typed", "org", "comma", F.posexplode("tokens").alias("i", "token"))
     scored = tok.join(role, "token", "left").withColumn("share", F.when(F.length("token") == 1, F.lit(-1.0)).when((F.col("comma") > 0) & (F.col("i") < F.col("comma")), F.lit(2.0)).otherwise(F.coalesce((F.col("as_surname") + 0.5) / (F.col("as_surname") + F.col("as_given") + 1), F.lit(0.5))))
-    by_name = scored.groupBy("name", "n", "org").agg(F.array_sort(F.collect_list(F.struct("i", "token", "share"))).alias("t"), F.max(F.struct("share", "i")).alias("top"))
-    return by_name.select("name", "n", "org", F.expr("element_at(filter(t, x -> x.i = top.i), 1).token").alias("surname"), F.expr("transform(filter(t, x -> x.i <> top.i), x -> x.token)").alias("given"))
+    by_name = scored.groupBy("name", "n", "typed", "org").agg(F.array_sort(F.collect_list(F.struct("i", "token", "share"))).alias("t"), F.max(F.struct("share", "i")).alias("top"))
+    return by_name.select("name", "n", "typed", "org", F.expr("element_at(filter(t, x -> x.i = top.i), 1).token").alias("surname"), F.expr("transform(filter(t, x -> x.i <> top.i), x -> x.token)").alias("given"))
 
 
 def surname_frequency(split: DataFrame) -> DataFrame:
-    """surname, frequency (in spellings)."""
-    return split.groupBy("surname").agg(F.count("*").alias("frequency"))
+    """surname, frequency (in typed spellings; one where it is only filed)."""
+    return split.groupBy("surname").agg(F.greatest(F.count_if(F.col("typed") > 0), F.lit(1)).alias("frequency"))
 
 
 def surname_pairs(own: DataFrame) -> DataFrame:
@@ -306,16 +311,19 @@ def persons(sigs: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def link(creators: DataFrame, candidates: DataFrame) -> DataFrame:
-    """Every distinct spelling with its person or organisation.
+    """Every distinct spelling, file_as included, with its person or organisation.
 
     Defined results: nulls and blanks give no row; a name without letters
     stays alone; ties go by the order of the alphabet; the result does not
     depend on the order of rows.
     """
-    names = spellings(creators, candidates)
-    parsed = names.mapInPandas(_parse, PARSED)
-    filed = creators.where("file_as like '%,%'").groupBy(F.col("file_as").alias("name")).agg(F.count("*").alias("n")).mapInPandas(_parse, PARSED)
-    role = roles(parsed, filed)
+    return _linked(creators, candidates).select("name", "n", "person")
+
+
+def _linked(creators: DataFrame, candidates: DataFrame) -> DataFrame:
+    """As ``link``, with the count as typed."""
+    parsed = spellings(creators, candidates).mapInPandas(_parse, PARSED)
+    role = roles(parsed)
     split = checkpointed(split_surname(parsed, role))
     own = surname_frequency(split)
     given_n = role.select(F.col("token").alias("g"), F.col("given_spellings"))
@@ -326,12 +334,12 @@ def link(creators: DataFrame, candidates: DataFrame) -> DataFrame:
     counted = counted.join(split.select("name", F.size("given").alias("k")), "name").select("name", F.expr("slice(given_n, 1, k)").alias("given_n"))
     sigs = checkpointed(signatures(split, counted, own))
     of = persons(sigs, rivals(sigs, surname_pairs(own)))
-    alone = parsed.where("size(tokens) = 0").select("name", "n", F.concat(F.lit("::"), "name").alias("person"))
-    return split.withColumn("sig", signature()).join(of, "sig").select("name", "n", "person").unionByName(alone)
+    alone = parsed.where("size(tokens) = 0").select("name", "n", "typed", F.concat(F.lit("::"), "name").alias("person"))
+    return split.withColumn("sig", signature()).join(of, "sig").select("name", "n", "typed", "person").unionByName(alone)
 
 
 def found(creators: DataFrame, candidates: DataFrame) -> DataFrame:
-    """All pairs of spellings of one person, which is the form this result is defined in."""
-    linked = link(creators, candidates)
+    """All pairs of spellings of one person in the name columns, which is the form this result is defined in."""
+    linked = _linked(creators, candidates).where("typed > 0")
     a, b = linked.select("person", F.col("name").alias("name_a")), linked.select("person", F.col("name").alias("name_b"))
     return a.join(b, "person").where("name_a < name_b").select("name_a", "name_b").distinct()
