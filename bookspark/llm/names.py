@@ -123,30 +123,70 @@ def given_match(a: str, b: str, known: dict[str, int] | None = None) -> float:
 COMMON = 4
 
 
+def assignment(score: list[list[float]]) -> list[int]:
+    """The column of each row in the assignment of all rows with the greatest sum; rows are at most as many as columns."""
+    n, m = len(score), len(score[0])
+    u, v, row_of, way = [0.0] * (n + 1), [0.0] * (m + 1), [0] * (m + 1), [0] * (m + 1)
+    for i in range(1, n + 1):
+        row_of[0], j = i, 0
+        least, used = [float("inf")] * (m + 1), [False] * (m + 1)
+        while row_of[j]:
+            used[j], r, delta, to = True, row_of[j], float("inf"), 0
+            for k in range(1, m + 1):
+                if not used[k]:
+                    cost = -score[r - 1][k - 1] - u[r] - v[k]
+                    if cost < least[k]:
+                        least[k], way[k] = cost, j
+                    if least[k] < delta:
+                        delta, to = least[k], k
+            for k in range(m + 1):
+                if used[k]:
+                    u[row_of[k]] += delta
+                    v[k] -= delta
+                else:
+                    least[k] -= delta
+            j = to
+        while j:
+            row_of[j] = row_of[way[j]]
+            j = way[j]
+    out = [0] * n
+    for k in range(1, m + 1):
+        if row_of[k]:
+            out[row_of[k] - 1] = k - 1
+    return out
+
+
+#: What an assignment out of order is worth of one in order.
+REORDERED = 0.85
+
+
 def align(a: tuple[str, ...], b: tuple[str, ...], known: dict[str, int] | None = None) -> float:
-    """Best assignment of the shorter list of given names to the longer; 0 if any stays unmatched or the first ones differ.
+    """Best assignment of the shorter list of given names to the longer; 0 if any stays unmatched.
 
-    One given name may be left out, but not the first; where neither list has
-    any, the surname alone agrees weakly.
+    In order the first names agree, as others may be left out but not the
+    first. Out of order it counts less, needs two full names that agree, and
+    the first of the longer list must be taken; where neither list has any
+    names, the surname alone agrees weakly.
     """
     if not a or not b:
         return 0.5 if a == b else 0.0
     short, long = (a, b) if len(a) <= len(b) else (b, a)
-    first = given_match(short[0], long[0], known)
-    if not first:
-        return 0.0
-    rest_s, rest_l = short[1:], long[1:]
-    total = first
-    # in order; given names are few, so each of the shorter list takes its best later partner
-    at = 0
-    for s in rest_s:
-        options = [(given_match(s, rest_l[k], known), -k) for k in range(at, len(rest_l))]
-        best, k = max(options, default=(0.0, 0))
-        if not best:
-            return 0.0
-        total += best
-        at = -k + 1
-    return total / len(short)
+    match = [[given_match(s, x, known) for x in long] for s in short]
+    none = float("-inf")
+    best = [match[0][0] or none] + [none] * (len(long) - 1)
+    for row in match[1:]:
+        before, top = best, none
+        best = []
+        for k, score in enumerate(row):
+            best.append(top + score if score else none)
+            top = max(top, before[k])
+    ordered = max(best)
+    at = assignment([[x or -float(2 * len(short)) for x in row] for row in match]) if len(short) > 1 else [0]
+    got = [row[k] for row, k in zip(match, at, strict=True)]
+    full = any(len(s) > 1 and len(long[k]) > 1 for s, k in zip(short, at, strict=True))
+    swapped = REORDERED * sum(got) if all(got) and full and 0 in at and len(short) > 1 else 0.0
+    return max(ordered, swapped, 0.0) / len(short)
+
 
 
 def spellings(creators: DataFrame, candidates: DataFrame) -> DataFrame:
@@ -191,16 +231,18 @@ def surname_frequency(split: DataFrame) -> DataFrame:
 def surname_pairs(own: DataFrame) -> DataFrame:
     """(surname, other) both ways: each surname with itself and every one an edit away that may be a slip of it.
 
-    The symmetric-delete index holds each surname of five letters or more with
-    every one of its letters left out; two that share an entry are compared.
-    Two established surnames of like frequency are two surnames.
+    The symmetric-delete index holds each surname with every one of its letters
+    left out; two that share an entry are compared. Two established surnames
+    of like frequency are two surnames; of one with less than five letters the
+    other must be eight times as frequent.
     """
-    long = own.where("length(surname) >= 5")
+    long = own.where("length(surname) >= 3")
     deletes = F.array_distinct(F.concat(F.array("surname"), F.expr("transform(sequence(1, length(surname)), i -> concat(left(surname, i - 1), substring(surname, i + 1)))")))
     index = long.select("surname", "frequency", F.explode(deletes).alias("entry"))
     a, b = index.alias("a"), index.alias("b")
     pairs = a.join(b, F.col("a.entry") == F.col("b.entry")).where(F.col("a.surname") != F.col("b.surname")).select(F.col("a.surname").alias("surname"), F.col("b.surname").alias("other"), F.least("a.frequency", "b.frequency").alias("lo"), F.greatest("a.frequency", "b.frequency").alias("hi")).distinct()
-    near = pairs.where((F.col("lo") < COMMON) | (F.col("lo") * 2 <= F.col("hi"))).mapInPandas(_slips, "surname string, other string")
+    sure = F.least(F.length("surname"), F.length("other")) >= 5
+    near = pairs.where(((F.col("lo") < COMMON) | (F.col("lo") * 2 <= F.col("hi"))) & (sure | (F.col("lo") * 8 <= F.col("hi")))).mapInPandas(_slips, "surname string, other string")
     return near.unionByName(own.select("surname", F.col("surname").alias("other")))
 
 
