@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from bookspark.functions import color, paths
 from bookspark.functions import text as tx
 from bookspark.operators import filters, lint, packing
+from bookspark.session import checkpointed
 from bookspark.session import table as t
 
 RULES = [filters.Rule("replace", "harbour", "haven"), filters.Rule("remove", " slowly"), filters.Rule("replace", "haven", "port", frozenset({"text", "href"}))]
@@ -390,6 +391,24 @@ def copies(s, d):
 COPIES = "WITH RECURSIVE c AS (SELECT DISTINCT o_custkey % 500 AS b, (o_custkey % 500) // 2 AS a FROM orders WHERE o_custkey % 3 <> 0 AND o_custkey % 500 > 0), r AS (SELECT b, a AS root, 1 AS depth FROM c UNION ALL SELECT r.b, c.a, depth + 1 FROM r JOIN c ON r.root = c.b) SELECT b AS copy, arg_min(root, -depth) AS source, max(depth) AS depth FROM r GROUP BY b"
 
 
+def follow(edges):
+    """copy, source, depth for edges (b, a) with a < b: each chain to its end, by pointer doubling."""
+    state = checkpointed(edges.select("b", F.col("a").alias("root"), F.lit(1).alias("depth")))
+    while True:
+        on = state.select(F.col("b").alias("root"), F.col("root").alias("further"), F.col("depth").alias("more"))
+        if state.join(on, "root", "left_semi").isEmpty():
+            return state.select(F.col("b").alias("copy"), F.col("root").alias("source"), "depth")
+        state = checkpointed(state.join(on, "root", "left").select("b", F.coalesce("further", "root").alias("root"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth")))
+
+
+def copy_chains(s, d):
+    """As copies, over every key as it is."""
+    return follow(t(s, d, "orders").select(F.col("o_custkey").cast("long").alias("b")).distinct().where("b > 0").select("b", F.floor(F.col("b") / 2).cast("long").alias("a")))
+
+
+COPY_CHAINS = "WITH RECURSIVE c AS (SELECT DISTINCT o_custkey::BIGINT AS b, o_custkey::BIGINT // 2 AS a FROM orders WHERE o_custkey > 0), r AS (SELECT b, a AS root, 1 AS depth FROM c UNION ALL SELECT r.b, c.a, depth + 1 FROM r JOIN c ON r.root = c.b) SELECT b AS copy, arg_min(root, -depth) AS source, max(depth) AS depth FROM r GROUP BY b"
+
+
 def events_json(s, d):
     e = t(s, d, "events").select("event_id", "event_type", F.from_json("props", "map<string,string>").alias("p"))
     return e.groupBy("event_type").agg(F.count("*").alias("n"), F.sum(F.size(F.map_keys("p"))).alias("n_keys"))
@@ -421,6 +440,7 @@ QUERIES = {
     "jon_fragments": (referenced_fragments, FRAGMENTS),
     "jon_declared_type": (declared_type, DECLARED),
     "jon_copies": (copies, COPIES),
+    "jon_copy_chains": (copy_chains, COPY_CHAINS),
     "agg_duplicate_ids": (duplicate_ids, DUPLICATES),
     "lnt_fonts": (font_findings, FONTS),
     "lnt_zip64": (zip64, ZIP64),
