@@ -1,6 +1,7 @@
 """Leaks, packing, splitting, truncation: against brute force and by their invariants."""
 
 import random
+import time
 
 import pytest
 from hypothesis import given, settings
@@ -125,6 +126,27 @@ def test_pieces_tile(blocks, limit, overlap, with_nodes):
             assert said.endswith(p["overlap"])
 
 
+def test_pieces_of_one_long_block():
+    """A block is read once: 4 MB take seconds; an overlap of half the limit is given whole."""
+    began = time.process_time()
+    body = "<p>" + "Some words é here, and <b>more</b> of them. " * 95_000 + "</p>"
+    parts = splitting.plan_pieces(body, None, 4096, 2000)
+    assert time.process_time() - began < 20
+    assert b"".join(body.encode()[p["start_byte"]:p["end_byte"]] for p in parts) == body.encode()
+    assert all(p["n_bytes"] <= 4096 for p in parts) and {len(p["overlap"].encode()) for p in parts[1:]} <= {1999, 2000}
+    with pytest.raises(ValueError):
+        splitting.plan_pieces(body, None, 4096, 4096)
+
+
+@given(st.text(alphabet="<>b/ &;!-a.é", max_size=400), st.integers(40, 200), st.integers(0, 39))
+@settings(max_examples=200, deadline=None)
+def test_pieces_of_broken_markup(body, limit, overlap):
+    parts = splitting.plan_pieces(body, None, limit, overlap)
+    raw = body.encode()
+    assert b"".join(raw[p["start_byte"]:p["end_byte"]] for p in parts) == raw
+    assert all(p["n_bytes"] == len(p["body_html"].encode()) <= limit and len(p["overlap"].encode()) <= overlap for p in parts)
+
+
 def test_split_operator(spark):
     schema = "chapter_id bigint, profile string, body_html string, nodes array<struct<kind:string,n_bytes:int>>, piece int"
     big = "<p>word word. </p>\n" * 200
