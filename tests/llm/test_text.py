@@ -51,6 +51,8 @@ LOOK = [
     ("Thе Old Map", ["script"]), ("Νicholas", ["script"]), ("a\u200bb", ["invisible"]), ("a\u00a0b", ["space"]), ("Ｔｈｅ", ["form"]), ("ﬁne", ["form"]), ("cafe\u0301", ["decomposed"]), ("x&nbsp;y", ["space"]), ("x&#8203;y", ["invisible"]), ("x&#x430; quiet shelf", ["script"]),
     ("In 1922 а miller came", ["script"]), ("Он открыл зaвод", ["script"]),
     ("The β-Signal", []), ("the Ω glass", []), ("Новый мост, а дальше сад", []), ("“Quotes” — dashes…", []), ("two  spaces", []), ("Cafe", []), ("Straße Łódź", []), ("&amp; &lt;", []), ("", []), ("THE Β-ARCHIVE", []), ("Книга The New Jar", []),
+    ("hօuse by the sea", ["script"]), ("\u13aalpha of the town", ["script"]), ("the p\u0251per boat", ["script"]), ("Henry \u2167", ["form"]), ("Wa\u017f\u017fer", ["form"]), ("он видел cop и дом", ["script"]),
+    ("\U0001f469\u200d\U0001f680 flew", []), ("\u2764\ufe0f you", []), ("a \U0001f600 and b\u200bc", ["invisible"]), ("\u0645\u06cc\u200c\u062e\u0648\u0627\u0647\u0645", []), ("x \u6f22\u5b57 \uff34\uff48\uff45 map", ["form"]), ("\u6f22\u5b57\uff08\u6ce8\uff09", []), ("[\u02c8p\u0251\u02d0t\u0259]", []), ("m\u00b2", []),
 ]
 
 
@@ -59,7 +61,7 @@ def test_kinds(text, kinds):
     assert look.kinds_of(text) == kinds
 
 
-@pytest.mark.parametrize("odd,plain", [("Тhе Оld Mар", "The Old Map"), ("Ｃａｆｅ\u0301", "Café"), ("a\u2009b\u00adc", "a bc"), ("Tomа\u0301s", "Tomás")])
+@pytest.mark.parametrize("odd,plain", [("Тhе Оld Mар", "The Old Map"), ("Ｃａｆｅ\u0301", "Café"), ("a\u2009b\u00adc", "a bc"), ("Tomа\u0301s", "Tomás"), ("\U0001f600 <p>soft\u00adhyphen a\u200bb</p>", "\U0001f600 <p>softhyphen ab</p>"), ("\u6f22\u5b57 and more: \uff34\uff48\uff45", "\u6f22\u5b57 and more: The")])
 def test_canonical(odd, plain):
     if plain is not None:
         assert look.canonical(odd) == plain
