@@ -7,6 +7,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -69,6 +70,23 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+_FILES: set[tuple[str, str]] = set()
+
+
+def ship_file(spark: SparkSession, path: str) -> str:
+    """Send a file of the driver to the executors, once per application; its name there."""
+    sc = spark.sparkContext
+    if (sc.applicationId, path) not in _FILES:
+        sc.addFile(path)
+        _FILES.add((sc.applicationId, path))
+    return os.path.basename(path)
+
+
+def shipped(name: str) -> str:
+    """Place of a shipped file on the machine that asks."""
+    return SparkFiles.get(name)
+
+
 def tokenizer_path(name: str) -> str:
     """Place of a public tokenizer's vocabulary file; BOOKSPARK_TOKENIZERS overrides the folder."""
     return os.path.join(os.environ.get("BOOKSPARK_TOKENIZERS", "/opt/tokenizers"), name)
