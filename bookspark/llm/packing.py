@@ -1,12 +1,13 @@
 """Problem 7: texts of varying length in containers of fixed capacity.
 
 Items go in falling order of size into the tightest compatible bin: open bins
-are ordered by residual, and each carries the sources and duplicate clusters
-it holds as bitmaps. A bin that holds a copy of the text is never compatible.
-A bin that holds the item's source is passed over while the successor search
-finds another; rather than open a new bin the tightest of those is taken, as
-unused room is the measure. A text is divided only if it alone exceeds the
-capacity.
+are ordered by residual, and each carries bitmaps of the sources and clusters
+of copies that it can take no more of. The search goes on past bins in
+conflict, however well they fit, until it finds the tightest that is not. A
+bin takes as many texts of a source or cluster as an even spread over the
+least number of bins asks for, mostly one copy; only where keeping to that
+would open bins beyond this number does the share of the group rise. A text is
+divided only if it alone exceeds the capacity.
 
 Shards are packed apart from each other. Their number follows from the row
 count, so that each is one bounded group; every shard leaves at most a few
@@ -16,16 +17,16 @@ bins that are not full.
 from __future__ import annotations
 
 import base64
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
-import numpy as np
 import pandas as pd
 import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bookspark.session import tokenizer_path
+from bookspark.session import ship_file, shipped, tokenizer_path
 
 #: The split of the public byte-level tokenizer of 50,256 ranks, a fixed value.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -43,9 +44,9 @@ def encoding(path: str) -> tiktoken.Encoding:
     return tiktoken.Encoding("public", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-def _count(path: str):
+def _count(name: str):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        enc = encoding(path)
+        enc = encoding(shipped(name))
         for pdf in batches:
             pdf["n_tokens"] = [len(enc.encode_ordinary(t)) for t in pdf["text"]]
             yield pdf[["doc_id", "source", "n_tokens", "copy"]]
@@ -58,64 +59,105 @@ def sizes(documents: DataFrame, vocabulary: str | None = None) -> DataFrame:
 
     Null texts give no row, empty ones none either as they need no room.
     """
-    path = vocabulary or tokenizer_path(VOCABULARY)
+    name = ship_file(documents.sparkSession, vocabulary or tokenizer_path(VOCABULARY))
     docs = documents.where("text <> ''").select("doc_id", F.coalesce("source", F.lit("")).alias("source"), "text", F.xxhash64("text").alias("copy"))
-    return docs.mapInPandas(_count(path), SIZED)
+    return docs.mapInPandas(_count(name), SIZED)
 
 
 class Bins:
-    """Open bins by residual. A bitmap of the residuals in use finds the next larger one in one step."""
+    """Open bins ordered by residual, each with a bitmap of the groups (sources, clusters of copies) it can take no more of.
 
-    def __init__(self, capacity: int) -> None:
-        self.capacity, self.used = capacity, 0
-        self.by_room: list[list[int]] = [[] for _ in range(capacity + 1)]
+    A group may stand in a bin up to its quota. A bitmap of the residuals in
+    use finds the next larger one in one step; groups that hold much of the
+    items have such an order of their own, of the bins that can take them, so
+    that a search never walks past a crowd of bins that are all in conflict.
+    """
+
+    def __init__(self, capacity: int, bound: int, members: dict[int, int]) -> None:
+        self.capacity, self.bound = capacity, bound
+        #: The least even share: with it every group fits into as many bins as all items need.
+        self.quota = {g: -(-n // max(1, bound)) for g, n in members.items()}
+        total = sum(members.values())
+        self.hot = {g: n for g, n in members.items() if n * HOT_PART >= total and n > 1}
         self.room: list[int] = []
-        self.sources: list[int] = []
-        self.copies: list[set[int]] = []
-
-    def place(self, size: int, source: int, copy: int | None) -> int:
-        """The bin that takes the item: the tightest without its source or copy, else the tightest without its copy, else a new one."""
-        second = None
-        room = size
-        while room < self.capacity:
-            above = self.used >> room
-            if not above:
-                break
-            room += (above & -above).bit_length() - 1
-            for b in reversed(self.by_room[room]):
-                if copy is not None and copy in self.copies[b]:
-                    continue
-                if not self.sources[b] >> source & 1:
-                    return self._put(b, size, source, copy)
-                if second is None:
-                    second = b
-            # bins of the same source that fit exactly are not worth a looser one
-            if second is not None and self.room[second] == size:
+        self.held: list[dict[int, int]] = []
+        self.full: list[int] = []
+        self.by_room: dict[int | None, list[dict[int, None]]] = {g: [{} for _ in range(capacity + 1)] for g in (None, *self.hot)}
+        self.used: dict[int | None, int] = dict.fromkeys(self.by_room, 0)
+
+    def _enter(self, key: int | None, b: int) -> None:
+        self.by_room[key][self.room[b]][b] = None
+        self.used[key] |= 1 << self.room[b]
+
+    def _leave(self, key: int | None, b: int) -> None:
+        here = self.by_room[key][self.room[b]]
+        here.pop(b, None)
+        if not here:
+            self.used[key] &= ~(1 << self.room[b])
+
+    def _tightest(self, size: int, groups: tuple[int, ...]) -> int | None:
+        """The open bin with the least room for the item that none of its groups has filled."""
+        mask = sum(1 << g for g in groups)
+        key = max((g for g in groups if g in self.hot), key=lambda g: (self.hot[g], g), default=None)
+        rooms, used, at = self.by_room[key], self.used[key], size
+        while above := used >> at:
+            at += (above & -above).bit_length() - 1
+            for b in rooms[at]:
+                if not self.full[b] & mask:
+                    return b
+            at += 1
+        return None
+
+    def place(self, size: int, groups: tuple[int, ...] = ()) -> int:
+        """The bin that takes the item: the tightest compatible one, else a new one.
+
+        Where the bins are already as many as all items need, and one has room,
+        the conflict can't be kept without waste: the quota of the group in the
+        way rises by one.
+        """
+        while True:
+            b = self._tightest(size, groups)
+            if b is not None:
+                return self._put(b, size, groups)
+            if len(self.room) < self.bound or not self.used[None] >> size:
                 break
-            room += 1
-        if second is not None:
-            return self._put(second, size, source, copy)
+            self._raise(size, groups)
         self.room.append(self.capacity)
-        self.sources.append(0)
-        self.copies.append(set())
-        return self._put(len(self.room) - 1, size, source, copy, new=True)
-
-    def _put(self, b: int, size: int, source: int, copy: int | None, new: bool = False) -> int:
-        if not new:
-            here = self.by_room[self.room[b]]
-            here.remove(b)
-            if not here:
-                self.used &= ~(1 << self.room[b])
+        self.held.append({})
+        self.full.append(0)
+        return self._put(len(self.room) - 1, size, groups)
+
+    def _raise(self, size: int, groups: tuple[int, ...]) -> None:
+        stuck = [g for g in groups if self._tightest(size, tuple(x for x in groups if x != g)) is not None] or list(groups)
+        for g in stuck[:1] if len(stuck) < len(groups) else stuck:
+            self.quota[g] += 1
+            for b, held in enumerate(self.held):
+                if self.full[b] >> g & 1 and held[g] < self.quota[g]:
+                    self.full[b] &= ~(1 << g)
+                    if g in self.hot and self.room[b]:
+                        self._enter(g, b)
+
+    def _put(self, b: int, size: int, groups: tuple[int, ...]) -> int:
+        open_to = [g for g in self.hot if not self.full[b] >> g & 1]
+        if self.room[b] < self.capacity:
+            for key in (None, *open_to):
+                self._leave(key, b)
         self.room[b] -= size
-        self.sources[b] |= 1 << source
-        if copy is not None:
-            self.copies[b].add(copy)
+        for g in groups:
+            self.held[b][g] = self.held[b].get(g, 0) + 1
+            if self.held[b][g] >= self.quota[g]:
+                self.full[b] |= 1 << g
         if self.room[b] > 0:
-            self.by_room[self.room[b]].append(b)
-            self.used |= 1 << self.room[b]
+            for key in (None, *open_to):
+                if key is None or not self.full[b] >> key & 1:
+                    self._enter(key, b)
         return b
 
 
+#: A group of one part in so many of the items has an order of bins of its own.
+HOT_PART = 32
+
+
 def pack(items: list[tuple[int, int, str, int]], capacity: int) -> list[tuple[int, int, int, int, int, int]]:
     """(item, piece, bin, start, end, room left) for items (id, tokens, source, copy).
 
@@ -123,20 +165,21 @@ def pack(items: list[tuple[int, int, str, int]], capacity: int) -> list[tuple[in
     an item like any other. Ties go by id, so the result does not depend on
     the order of the rows.
     """
-    bins, out, rest = Bins(capacity), [], []
-    sources: dict[str, int] = {}
+    out, rest, whole_bins = [], [], 0
     for doc, n, source, copy in sorted(items):
-        s = sources.setdefault(source, len(sources))
         whole = n // capacity
         for k in range(whole):
-            out.append((doc, k, bins.place(capacity, s, copy), k * capacity, (k + 1) * capacity))
+            out.append((doc, k, whole_bins, k * capacity, (k + 1) * capacity))
+            whole_bins += 1
         if n % capacity:
-            rest.append((n % capacity, doc, whole, s, copy))
-    often = {c for c, n in zip(*np.unique([r[4] for r in rest] or [0], return_counts=True), strict=True) if n > 1}
-    for size, doc, piece, s, copy in sorted(rest, key=lambda r: (-r[0], r[1], r[2])):
-        b = bins.place(size, s, copy if copy in often else None)
-        out.append((doc, piece, b, piece * capacity, piece * capacity + size))
-    return [(doc, piece, b, a, z, bins.room[b]) for doc, piece, b, a, z in out]
+            rest.append((n % capacity, doc, whole, ("s", source), ("c", copy)))
+    counts = Counter(g for r in rest for g in r[3:])
+    number = {g: i for i, g in enumerate(sorted(g for g, n in counts.items() if n > 1))}
+    bins = Bins(capacity, -(-sum(r[0] for r in rest) // capacity), {i: counts[g] for g, i in number.items()})
+    for size, doc, piece, source, copy in sorted(rest, key=lambda r: (-r[0], r[1], r[2])):
+        b = bins.place(size, tuple(number[g] for g in (source, copy) if g in number))
+        out.append((doc, piece, whole_bins + b, piece * capacity, piece * capacity + size))
+    return [(doc, piece, b, a, z, bins.room[b - whole_bins] if b >= whole_bins else 0) for doc, piece, b, a, z in out]
 
 
 def _pack_group(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
@@ -162,6 +205,10 @@ def fill(documents: DataFrame, containers: DataFrame, vocabulary: str | None = N
 
 
 def fill_report(documents: DataFrame, containers: DataFrame) -> DataFrame:
-    """Per container kind: bins, tokens, and the share of room that stays unused."""
+    """Per container kind: bins, the least number that the tokens need, the share of room that stays unused, and the most texts of one source in a bin."""
     placed = fill(documents, containers)
-    return placed.groupBy("container", "capacity").agg(F.count_distinct("bin").alias("n_bins"), F.sum("n_tokens").alias("n_tokens")).withColumn("unused", F.round(1 - F.col("n_tokens") / (F.col("n_bins") * F.col("capacity")), 6))
+    source = documents.select("doc_id", F.coalesce("source", F.lit("")).alias("source")).dropDuplicates(["doc_id"])
+    most = placed.join(source, "doc_id").groupBy("container", "bin", "source").agg(F.count("*").alias("n")).groupBy("container").agg(F.max("n").alias("most_of_a_source"))
+    out = placed.groupBy("container", "capacity").agg(F.count_distinct("bin").alias("n_bins"), F.sum("n_tokens").alias("n_tokens"))
+    out = out.withColumn("least_bins", F.ceil(F.col("n_tokens") / F.col("capacity"))).withColumn("unused", F.round(1 - F.col("n_tokens") / (F.col("n_bins") * F.col("capacity")), 6))
+    return out.join(most, "container")

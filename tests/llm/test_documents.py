@@ -2,6 +2,7 @@
 
 import random
 import time
+from collections import Counter
 
 import pytest
 from hypothesis import given, settings
@@ -68,16 +69,21 @@ def test_leak_operator(spark):
 def test_packing_invariants(raw, capacity):
     items = [(i, n, f"s{s}", c) for i, (n, s, c) in enumerate(raw)]
     rows = packing.pack(items, capacity)
-    room, copies = {}, {}
+    room, held = {}, Counter()
     for doc, piece, b, a, z, left in rows:
         assert 0 < z - a <= capacity and a == piece * capacity
         room[b] = room.get(b, 0) + z - a
     for doc, piece, b, a, z, left in rows:
         assert room[b] + left == capacity
         if z - a < capacity:
-            c = next(i[3] for i in items if i[0] == doc)
-            assert (b, c) not in copies or copies[b, c] == doc
-            copies[b, c] = doc
+            held[b, items[doc][3]] += 1
+    part = [n % capacity for _, n, *_ in items]
+    bound = -(-sum(part) // capacity)
+    used = len({b for _, _, b, a, z, _ in rows if z - a < capacity})
+    assert used <= 2 * bound + 1
+    if bound > 1:  # no cluster stands in one bin where two bins were at hand and had room
+        for c, n in Counter(c for _, n, _, c in items if n % capacity).items():
+            assert n == 1 or max(k for (b, d), k in held.items() if d == c) < n or used < 2 or sum(p for p, i in zip(part, items, strict=True) if i[3] == c) <= capacity
     for i, n, *_ in items:
         got = sorted((a, z) for d, _, _, a, z, _ in rows if d == i)
         assert got[0][0] == 0 and got[-1][1] == n and all(x[1] == y[0] for x, y in zip(got, got[1:], strict=False))
@@ -85,6 +91,22 @@ def test_packing_invariants(raw, capacity):
     assert packing.pack(items[::-1], capacity) == rows
 
 
+def test_packing_keeps_conflicts():
+    """The search goes on past an exact fit in conflict; copies stay apart; a crowded source is spread evenly."""
+    got = packing.pack([(1, 6, "a", 1), (2, 5, "b", 2), (3, 4, "a", 3)], 10)
+    bin_of = {r[0]: r[2] for r in got}
+    assert bin_of[3] == bin_of[2] != bin_of[1]
+    got = packing.pack([(i, 5, f"s{i}", 7) for i in range(4)] + [(i, 5, f"s{i}", i) for i in range(10, 14)], 10)
+    assert len({r[2] for r in got}) == 4 and max(Counter(r[2] for r in got if r[0] < 4).values()) == 1
+    items = [(i, 10 + i % 7, "big" if i % 3 == 0 else f"s{i % 29}", i) for i in range(3000)]
+    rows = packing.pack(items, 256)
+    source = {i: s for i, _, s, _ in items}
+    bins = len({r[2] for r in rows})
+    assert bins <= 1.02 * -(-sum(i[1] for i in items) // 256) + 1
+    share = sorted(Counter(r[2] for r in rows if source[r[0]] == "big").values())
+    assert share[int(0.9 * len(share))] <= -(-1000 // bins) + 1
+
+
 def test_packing_is_tight():
     rng = random.Random(4)
     items = [(i, rng.randint(5, 400), f"s{rng.randrange(9)}", i) for i in range(3000)]
