@@ -207,3 +207,11 @@ def test_truncation_edges(spark):
     d = spark.createDataFrame([(1, "s", None, 1), (2, "s", "", 1), (3, "s", "one", 1), (3, "s", "one", 1), (4, None, " \n ", 1), (5, "s", "Word. " * 5000, 1)], "doc_id bigint, source string, text string, tri int")
     assert {r.doc_id for r in truncation.judge(d).collect()} == {3, 5}
     assert truncation.judge(d.limit(0)).count() == 0
+
+
+def test_truncation_of_long_tokens(spark):
+    """An unbroken token of 300,000 letters costs little, and every cut text names the level of trigrams that decided."""
+    d = spark.createDataFrame([(i, "s", "The old miller of the bridge carried the lantern near the harbour. " * 9 + tail) for i, tail in enumerate(["The end."] * 60 + ["a" * 300_000, "The old miller of the bri", "The old miller of the"])], "doc_id bigint, source string, text string")
+    rows = truncation.judge(d).where("cut").collect()
+    assert {61, 62} <= {r.doc_id for r in rows} and all(r.evidence.startswith("cut by ") for r in rows)
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("finals_")]
