@@ -268,7 +268,7 @@ def _find(dictionaries: list[bytes]):
             for tbl, key, field, text in pdf.itertuples(index=False):
                 kinds = kinds_of(text)
                 # a title whose odd characters come from a wrong encoding is a case of that problem
-                if kinds and field == "title" and (encodings.LOST in text or m.repair(text)):
+                if kinds and field == "title" and m.repair(text):
                     continue
                 if kinds:
                     rows.append((tbl, key, field, kinds))

@@ -26,6 +26,23 @@ def test_round_trip(model, text, wrong):
     assert got and got[0] == text
 
 
+@pytest.mark.parametrize("text", ["Zażółć gęślą jaźń w mieście", "Příliš žluťoučký kůň", "İstanbul’da güneşli bir gün", "Το παλιό λιμάνι της νήσου", "古い港の地図"])
+def test_languages_that_no_sample_holds(model, text):
+    """A language is not known from a list: UTF-8 read as something else is restored whatever the language."""
+    for wrong in ("cp1252", "cp850"):
+        damaged = "".join(enc._chars_of(wrong)[b] for b in text.encode())
+        got = model.repair(damaged)
+        # of two like code pages only a sample of the language could tell which it was
+        assert got and (got[0] == text or wrong == "cp850")
+
+
+def test_samples_are_weeded():
+    """Frequent damage leaves no trace in the models: the commoner form of its neighbours is at hand."""
+    clean = [f"El faro de la mañana {k}" for k in range(200)]
+    bad = [f"El faro de la maÃ±ana {k}" for k in range(20)]
+    assert enc.weeded({"es": clean + bad})["es"] == clean
+
+
 def test_double_and_one_byte(model):
     once = "".join(enc._chars_of("cp1252")[b] for b in "Über den Käfer".encode())
     twice = "".join(enc._chars_of("cp1252")[b] for b in once.encode())
