@@ -17,10 +17,10 @@ from collections.abc import Iterator
 from html.entities import html5
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-CLEAN = "tbl string, row_key string, text string, blocks array<struct<kind:string,level:int,text:string>>, residue array<string>"
+CLEAN = "tbl string, row_key string, text string, blocks array<struct<kind:string,level:int,text:string>>, residue array<string>, slots int"
 
 # fixed values: elements of HTML, and the few a wiki adds
 _ELEMENTS = "a abbr acronym address area article aside audio b base bdi bdo big blockquote body br button canvas caption center cite code col colgroup data dd del details dfn dialog dir div dl dt em embed fieldset figcaption figure font footer form frame frameset h1 h2 h3 h4 h5 h6 head header hr html i iframe img input ins kbd label legend li link main map mark math meta meter nav noscript object ol optgroup option output p param picture pre progress q rp rt ruby s samp script section select small source span strike strong style sub summary sup svg table tbody td template textarea tfoot th thead time title tr track tt u ul var video wbr ref nowiki gallery references"
@@ -284,104 +284,163 @@ def _plain_refs(body: str, seen: list[str]) -> str:
     return rx.sub(lambda m: seen.append(name) or "", body) if "<ref" in body else body
 
 
-#: For the JVM: a description that holds no such sign has no markup.
-DESCRIPTION_FILTER = r"[<&*_`\[\]{}\\$~|]|''|==|(?m)^[ \t]{0,3}(?:#|>|[-+] |-{3}|\d{1,3}[.)] )"
-#: The same for a page, whose own tags and references are no residue. Tags with these signs in attributes pass as well.
-PAGE_FILTER = r"&(?:amp|#38|#x26);(?:#\w+|\w+);|&(?:lt|#60|#x3[cC]);[/!a-zA-Z?]|[*`\[\]{}\\$~|]|''|==|(?:[\s>(“„])_[^\s_]|(?:^|\n|>)[ \t]{0,3}(?:#{1,6}[ \t]|&gt;[ \t]|[-+] [^<\n]*\n+[-+] |[=-]{3})"
+#: What a text must hold for a rule to find anything: one of some rare signs, or a pattern for the JVM, where LINE is the start of a line and TAGS what may stand between two signs. Rules that count nothing have none.
+NEEDS = {
+    "md fence": "`~", "latex list": "\\", "latex block": "\\", "latex formula": "\\$", "wiki reference": "(?i:<ref)", "wiki template": "{", "wiki table": "{", "wiki heading": "=TAGS=", "wiki file": "[", "wiki link": "[", "wiki url": "[", "wiki emphasis": "'TAGS'",
+    "md image": "]", "md definition": "]", "md source note": "]", "md note": "[", "md note mark": "[", "md link": "]", "md reference": "]", "md table": "|", "md heading": "LINE#", "md underlined": "=TAGS=|-TAGS-TAGS-", "md quote": "LINE>", "md code": "`", "md strong": "*", "md emphasis": "*",
+    "md underscore": r"_(?<![\w\\]_)", "md strike": "~", "md bullets": r"LINE[-+*][ \t]", "wiki bullets": "LINE[*#:;]",
+    "latex heading": "\\", "latex citation": "\\", "latex command": "\\", "latex sign": "\\", "latex accent": "\\", "latex quotes": "`", "latex escape": "\\", "latex break": "\\",
+}
+_RARE_SIGNS = frozenset("\\`~${}|[]*")
+#: References of signs that rules need, by name. With them any page can show what its source does not hold.
+_SIGN_NAMES = "|".join(sorted({k[:-1] for k, v in html5.items() if k.endswith(";") and set(v) & (_RARE_SIGNS | set("<>='!^#_+-:;/(&"))}))
+
+
+def jvm_filter(page: bool) -> str:
+    """A pattern that every text with residue matches, put together from what the rules need.
+
+    A page's own tags and references are no residue, but a line may begin
+    behind any tag, tags may stand between two signs, and signs may be written
+    as references.
+    """
+    signs = "".join(sorted({re.escape(c) for need in NEEDS.values() if set(need) <= _RARE_SIGNS for c in need}))
+    rest = dict.fromkeys(part for need in NEEDS.values() if not set(need) <= _RARE_SIGNS for part in re.split(r"\|(?![^(]*\))", need))
+    line = "|".join(p[4:] for p in rest if p.startswith("LINE"))
+    other = "|".join(p.replace("TAGS", "(?:<[^<>]*>)*") for p in rest if not p.startswith("LINE"))
+    before = r"(?:^|[\n\r>])[ \t]*" if page else r"(?:^|[\n\r>;])[ \t]*"
+    html_signs = rf"&(?:#|(?:{_SIGN_NAMES});)" if page else r"<[!/?A-Za-z]|<[\w.+-]+@|&(?:#|[A-Za-z])"
+    return rf"[{signs}]|{other}|{html_signs}|{before}(?:{line})"
+
+
+PAGE_FILTER, DESCRIPTION_FILTER = jvm_filter(True), jvm_filter(False)
+
+
+def could_hold(page: Column, text: Column) -> Column:
+    """Whether a text could have residue; wider than the rules."""
+    return F.when(page, text.rlike(PAGE_FILTER)).otherwise(text.rlike(DESCRIPTION_FILTER))
 
 
 def values(metadata: DataFrame, works: DataFrame, chapters: DataFrame) -> DataFrame:
     """(tbl, row_key, host, page, text): descriptions and pages in long form, without nulls."""
     m = metadata.select(F.lit("metadata").alias("tbl"), F.col("book_id").alias("row_key"), F.lit("metadata").alias("host"), F.lit(False).alias("page"), F.col("description").alias("text"))
-    w = works.select(F.lit("works").alias("tbl"), F.col("ref").alias("row_key"), F.substring_index("ref", ":", 1).alias("host"), F.lit(False).alias("page"), F.col("description").alias("text"))
+    w = works.select(F.lit("works").alias("tbl"), F.col("ref").alias("row_key"), F.concat(F.lit("works:"), F.substring_index("ref", ":", 1)).alias("host"), F.lit(False).alias("page"), F.col("description").alias("text"))
     c = chapters.select(F.lit("chapters").alias("tbl"), F.col("chapter_id").cast("string").alias("row_key"), F.col("book_id").alias("host"), F.lit(True).alias("page"), F.col("body_html").alias("text"))
     return m.unionByName(w).unionByName(c).where("text is not null")
 
 
 #: A class of tokens makes a template if it stands on so many pages of the host and on this share of them.
 SUPPORT, SHARE = 3, 0.01
-_TAG_SQL = rf"(?is)<!--.*?-->|</?(?:{_NAMES})(?:\s[^<>]*|/)?>"
+_TAG_SQL = r"(?s)</?[A-Za-z][^<>]*>|<!--.*?-->"
+_SPLIT = re.compile(f"({_TAG_SQL[4:]})", re.S)
+
+
+def _cut_into(spans: list[tuple[int, int, int]]) -> set[int]:
+    """Classes of (first, last, class) that cut into another on this page, without lying within a slot of it."""
+    bad: set[int] = set()
+    stack: list[tuple[int, int, int]] = []
+    for s in sorted(spans, key=lambda s: (s[0], -s[1])):
+        while stack and stack[-1][1] < s[0]:
+            stack.pop()
+        if stack and s[1] > stack[-1][1]:
+            bad.add(s[2])
+        else:
+            stack.append(s)
+    return bad
 
 
-def _overlapping(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Classes whose spans cut into each other on a page without one lying within a slot of the other."""
+def _placed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Of each host and class the least and greatest order of its tokens on a page, its pages, and whether it cuts into another; summed for each batch."""
     for pdf in batches:
-        bad = []
-        for host, spans in pdf.itertuples(index=False):
-            stack: list = []
-            for s in sorted(spans, key=lambda s: (s["lo"], -s["hi"])):
-                while stack and stack[-1]["hi"] < s["lo"]:
-                    stack.pop()
-                if stack and s["hi"] > stack[-1]["hi"]:
-                    bad.append((host, s["class_id"]))
-                else:
-                    stack.append(s)
-        yield pd.DataFrame(dict.fromkeys(bad), columns=["host", "class_id"])
+        out: dict[tuple, list] = {}
+        for host, tags, classes in pdf.itertuples(index=False):
+            of = dict(classes)
+            first: dict[str, int] = {}
+            last: dict[str, int] = {}
+            for k, t in enumerate(tags):
+                if t in of:
+                    first.setdefault(t, k)
+                    last[t] = k
+            members: dict[int, list[str]] = {}
+            for t in first:  # in order of the first place
+                members.setdefault(of[t], []).append(t)
+            bad = _cut_into([(first[m[0]], max(last[t] for t in m), c) for c, m in members.items()])
+            for c, m in members.items():
+                seen = out.setdefault((host, c), [m, m, 0, False])
+                seen[0], seen[1] = min(seen[0], m), max(seen[1], m)
+                seen[2] += 1
+                seen[3] |= c in bad
+        yield pd.DataFrame([(*k, *v) for k, v in out.items()], columns=["host", "class_id", "least", "most", "n_pages", "cuts"])
 
 
 def templates(pages: DataFrame) -> DataFrame:
     """The valid equivalence classes of every host of ``pages`` (host, row_key, text).
 
-    An occurrence vector is kept as a hash that adds up over pages, so a host
-    of any size is summed map-side. Valid are classes of at least two tokens
-    that keep one order on all their pages and never cut into another class.
-    A repeated page counts once, its tokens all the more often; null texts and hosts have no tokens.
+    An occurrence vector is kept as a sum of hashes of page and count, so a
+    host of any size is summed map-side. The classes of a host, a bounded map,
+    then meet its pages in a join by host, and what they show is summed for
+    each batch. Valid are classes of at least two tokens that keep one order on
+    all their pages and never cut into another class. Repeated rows count as
+    often as they occur; null texts and hosts have no tokens.
     """
-    tags = pages.where("text is not null and host is not null").select("host", "row_key", F.xxhash64("text").alias("page"), F.posexplode(F.regexp_extract_all("text", F.lit(_TAG_SQL), F.lit(0))).alias("at", "token"))
-    per_page = tags.groupBy("host", "row_key", "page", "token").agg(F.count("*").alias("n"), F.min("at").alias("first"), F.max("at").alias("last"))
-    vectors = per_page.groupBy("host", "token").agg(F.expr("bit_xor(xxhash64(row_key, page, n))").alias("vector"), F.count("*").alias("n_pages"))
+    tags = pages.where("text is not null and host is not null").select("host", "row_key", F.regexp_extract_all("text", F.lit(_TAG_SQL), F.lit(0)).alias("tags"))
+    counted = tags.select("host", "row_key", F.explode(F.expr("transform(array_distinct(tags), t -> struct(t as token, size(filter(tags, x -> x = t)) as n))")).alias("x"))
+    vectors = counted.groupBy("host", F.col("x.token").alias("token")).agg(F.sum(F.xxhash64("row_key", "x.n").cast("decimal(20,0)")).alias("vector"), F.count("*").alias("n_pages"))
     size = pages.where("text is not null").groupBy("host").agg(F.count("*").alias("n_host"))
     wide = vectors.join(size, "host").where((F.col("n_pages") >= SUPPORT) & (F.col("n_pages") >= SHARE * F.col("n_host"))).withColumn("class_id", F.xxhash64("vector", "n_pages"))
-    placed = per_page.join(wide.select("host", "token", "class_id"), ["host", "token"])
-    spans = placed.groupBy("host", "row_key", "page", "class_id").agg(F.min("first").alias("lo"), F.max("last").alias("hi"), F.expr("transform(array_sort(collect_list(struct(first, token))), x -> x.token)").alias("tokens"))
-    bad = spans.groupBy("host", "row_key", "page").agg(F.collect_list(F.struct("class_id", "lo", "hi")).alias("spans")).where("size(spans) > 1").select("host", "spans").mapInPandas(_overlapping, "host string, class_id bigint").distinct()
-    ordered = spans.groupBy("host", "class_id").agg(F.min("tokens").alias("tokens"), F.max("tokens").alias("other"), F.count("*").alias("n_pages")).where((F.col("tokens") == F.col("other")) & (F.size("tokens") > 1))
-    return ordered.join(bad.withColumn("cuts", F.lit(True)), ["host", "class_id"], "left").where("cuts is null").select("host", "class_id", "tokens", "n_pages")
-
-
-def _convert(template: dict[str, frozenset[str]]):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for tbl, key, host, page, text in pdf.itertuples(index=False):
-                frame = template.get(host, ())
-                slots, framed = text, False
-                if frame and not page:
-                    slots = TAG.sub(lambda m: "\n\n" if m[0] in frame else m[0], text)  # noqa: B023
-                    framed = slots != text
-                out, blocks, residue = clean(slots, page)
-                rows.append((tbl, key, out, [{"kind": k, "level": n, "text": t} for k, n, t in blocks], ["template"] * framed + residue))
-            yield pd.DataFrame(rows, columns=["tbl", "row_key", "text", "blocks", "residue"])
-
-    return run
-
-
-def frames(descriptions: DataFrame) -> dict[str, frozenset[str]]:
-    """The template tokens of each host of descriptions; inline tags and structure that a slot needs are no frame.
-
-    Bounded: a token must stand on a hundredth of its host's pages, so a host
-    has at most a hundred times as many as a page has on average.
+    classes = wide.withColumn("k", F.count("*").over(Window.partitionBy("host", "class_id"))).where("k > 1").groupBy("host").agg(F.map_from_entries(F.collect_list(F.struct("token", "class_id"))).alias("classes"))
+    placed = tags.join(classes, "host").select("host", "tags", "classes").mapInPandas(_placed, "host string, class_id bigint, least array<string>, most array<string>, n_pages bigint, cuts boolean")
+    summed = placed.groupBy("host", "class_id").agg(F.min("least").alias("tokens"), F.max("most").alias("other"), F.sum("n_pages").alias("n_pages"), F.bool_or("cuts").alias("cuts"))
+    return summed.where("not cuts and tokens = other and size(tokens) > 1").select("host", "class_id", "tokens", "n_pages")
+
+
+#: Tags that may frame a description; others are structure that its text needs.
+_FRAME = r"(?i)^</?(?:div|span|p|section|article|body|html|main|font|center)\b"
+
+
+def frames(v: DataFrame) -> DataFrame:
+    """(host, frame): the tokens of the template of each host, one row each. Of descriptions only classes of framing tags.
+
+    Bounded for each host: a token must stand on a hundredth of its pages, so
+    there are at most a hundred times as many as a page has on average.
     """
-    kept = {"div", "span", "p", "section", "article", "body", "html", "main", "font", "center"}
-    out: dict[str, set[str]] = {}
-    for r in templates(descriptions).toLocalIterator():
-        names = {_TAG_NAME.match(t)[1].lower() for t in r.tokens if _TAG_NAME.match(t)}
-        if names <= kept:
-            out.setdefault(r.host, set()).update(r.tokens)
-    return {h: frozenset(t) for h, t in out.items()}
+    t = templates(v)
+    framing = F.col("host").isin("metadata") | F.col("host").startswith("works:")
+    t = t.where(~framing | F.forall("tokens", lambda x: x.rlike(_FRAME)))
+    return t.select("host", F.explode("tokens").alias("token")).groupBy("host").agg(F.array_sort(F.collect_set("token")).alias("frame"))
+
+
+def _convert(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        rows = []
+        for tbl, key, page, text, tokens in pdf.itertuples(index=False):
+            frame = frozenset(tokens) if tokens is not None else frozenset()
+            body, slots = text, 1
+            if frame:
+                parts = _SPLIT.split(text)  # text and tags in turn
+                kept = [x if k % 2 == 0 or x not in frame else "\0" for k, x in enumerate(parts)]
+                body = "".join(kept)
+                slots = sum(1 for x in body.split("\0") if x and not x.isspace())
+                body = body.replace("\0", "\n\n")
+            framed = body != text
+            # the tags of a page's template are its structure, those of a description's are taken off
+            out, blocks, residue = clean(text if page else body, page)
+            rows.append((tbl, key, out, [{"kind": k, "level": n, "text": t} for k, n, t in blocks], ["template"] * (framed and not page) + residue, slots))
+        yield pd.DataFrame(rows, columns=["tbl", "row_key", "text", "blocks", "residue", "slots"])
 
 
 def convert(metadata: DataFrame, works: DataFrame, chapters: DataFrame, only_marked: bool = False) -> DataFrame:
-    """Clean text, blocks and residue of every value; with ``only_marked`` of those that could have residue.
+    """Clean text, blocks, residue and number of template slots of every value; with ``only_marked`` of those that could have residue.
 
-    Defined results: null texts give no row, empty ones an empty text without
-    blocks, repeated rows repeated rows. Whole texts are read.
+    The template of each host meets its values in a join by host, so nothing
+    of it passes through the driver. Defined results: null texts give no row,
+    empty ones an empty text without blocks, repeated rows repeated rows; a
+    host without a template leaves one slot. Whole texts are read.
     """
     v = values(metadata, works, chapters)
-    frame = frames(v.where("not page"))
+    frame = frames(v)
     if only_marked:
-        v = v.where(F.when(F.col("page"), F.col("text").rlike(PAGE_FILTER)).otherwise(F.col("text").rlike(DESCRIPTION_FILTER)))
-    return v.select("tbl", "row_key", "host", "page", "text").mapInPandas(_convert(frame), CLEAN)
+        v = v.where(could_hold(F.col("page"), F.col("text")))
+    return v.join(frame, "host", "left").select("tbl", "row_key", "page", "text", "frame").mapInPandas(_convert, CLEAN)
 
 
 def found(metadata: DataFrame, works: DataFrame, chapters: DataFrame) -> DataFrame:

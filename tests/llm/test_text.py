@@ -1,5 +1,6 @@
 """Look-alikes, encodings, markup: small cases, properties, and what each does with nulls, blanks and repeats."""
 
+import re
 import unicodedata
 
 import pytest
@@ -117,6 +118,14 @@ def test_bare(text):
     assert markup.clean(text, False)[2] == []
 
 
+@given(st.lists(st.sampled_from([*MARKED, "<p>", "</p>", "<b>", "\n", " ", "[", "]", "(", ")", "*", "_", "'", "=", "#", "x", ": y", "; z", "- ", "&ast;", "&#42;", "&amp;", "|", "--", "\\"]), max_size=8).map("".join), st.booleans())
+@settings(max_examples=600, deadline=None)
+def test_filters_are_wider_than_the_rules(text, page):
+    rx = re.compile(markup.PAGE_FILTER if page else markup.DESCRIPTION_FILTER)
+    if markup.clean(text, page)[2]:
+        assert rx.search(text)
+
+
 def test_structure():
     out, blocks, seen = markup.clean("# Title\n\n* one\n* two\n\n```\nx = 1\n```\n\n\\[ \\frac{a}{b} \\leq 2 \\]\n\nend", False)
     assert [(k, t) for k, _, t in blocks] == [("heading", "Title"), ("item", "• one"), ("item", "• two"), ("code", "x = 1"), ("formula", "a/b ≤ 2"), ("paragraph", "end")]
@@ -139,5 +148,8 @@ def test_markup_operator(spark):
     t = markup.templates(markup.values(m, w, c).where("not page")).collect()
     assert [r.tokens for r in t] == [['<div class="b">', "<span>", "</span>", "</div>"]]
     assert markup.found(m.limit(0), w.limit(0), c.limit(0)).count() == 0
+    pages = [(i, f"<h1>T{i}</h1>\n<p>one</p>\n" + "<p>more</p>\n" * i, "z") for i in range(4)]
+    out = {r.row_key: r for r in markup.convert(m, w, c.unionByName(spark.createDataFrame(pages, c.schema))).where("tbl = 'chapters' and row_key in ('0', '3')").collect()}
+    assert out["3"].slots > 1 and out["0"].residue == []
     first = markup.convert(m, w, c).where("row_key = 'm0'").first()
     assert first.text == "text 0" and first.residue == ["template"]
