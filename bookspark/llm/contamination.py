@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 
 LEAKS = "doc_id bigint, item_id bigint, start bigint, end bigint, item_words int, matched_words int, similarity double"
 SEED, RUN, SIMILAR, GAP = 5, 20, 0.88, 2
-#: A run of five words that more items share than this is a stock phrase and proves nothing alone.
+#: A run of five words that more items share than this is a stock phrase and proves nothing alone, unless the item has hardly any other.
 SHARED = 2
 #: Items in one automaton; larger test sets are scanned in blocks of this many.
 BLOCK = 20_000
@@ -61,6 +61,12 @@ class Index:
             n = min(SEED, len(w))
             for k in range(len(w) - n + 1 if n else 0):
                 places[f" {' '.join(w[k:k + n])} "].append((i, k))
+        telling: dict[int, set[int]] = defaultdict(set)
+        for where in places.values():
+            for i, k in where if len(where) <= SHARED else ():
+                telling[i].update(range(k, k + SEED))
+        #: Items that consist of shared runs: all of their runs count.
+        self.stock = {i for i, w in self.words.items() if len(telling[i]) < min(RUN, len(w))}
         self.auto = ahocorasick.Automaton()
         for key, where in places.items():
             self.auto.add_word(key, (len(key), tuple(where)))
@@ -84,7 +90,7 @@ class Index:
                     at += len(w) + 1
             k = bisect_left(begins, end - size + 2)
             for item, j in where:
-                hits[item].append((k, j, len(where) <= SHARED))
+                hits[item].append((k, j, len(where) <= SHARED or item in self.stock))
         out = []
         for item, places in hits.items():
             target = self.words[item]
@@ -117,8 +123,8 @@ class Index:
             hi = min(n_doc, max(k - j for k, j, _ in g) + n_item + 3)
             if hi - lo <= 3 * n_item + 12:
                 out.append((lo, hi))
-            else:  # the item is quoted more than once on drifting diagonals
-                out += [(max(0, k - j - 3), min(n_doc, k - j + n_item + 3)) for k, j, _ in g[::SEED]]
+            else:  # the item is quoted more than once on drifting diagonals: a window for each
+                out += [(max(0, d - 3), min(n_doc, d + n_item + 3)) for d in sorted({k - j for k, j, _ in g})]
         return out
 
     @staticmethod
@@ -148,7 +154,10 @@ def _scan(items: list[tuple[int, str]]):
     key = hash(tuple(items))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        index = _BUILT.setdefault(key, None) or _BUILT.__setitem__(key, Index(items)) or _BUILT[key]
+        if key not in _BUILT:
+            _BUILT.clear()  # one block at a time
+            _BUILT[key] = Index(items)
+        index = _BUILT[key]
         for pdf in batches:
             rows = []
             for doc, text in zip(pdf["doc_id"].tolist(), pdf["text"].tolist(), strict=True):

@@ -54,6 +54,18 @@ def test_altered_words_and_offsets():
     assert leak.word_spans("Ａ\u00adb Éa")[0] == (0, 3)
 
 
+def test_items_of_stock_phrases_and_repeats():
+    """Items that share all their runs are found as well, and an item quoted again and again with drifting words."""
+    rng = random.Random(8)
+    item = sentence(rng, 30)
+    index = leak.Index([(i, item) for i in range(4)])
+    assert {x[0] for x in index.leaks("a b c " + item + " d e")} == {0, 1, 2, 3}
+    words = item.split()
+    doc = " ".join(" ".join(words[:7 + k % 5] + ["drift"] * (k % 3)) for k in range(60)) + " " + item
+    (got,) = leak.Index([(9, item)]).leaks(doc)
+    assert got[0] == 9 and got[3] >= 28
+
+
 def test_leak_operator(spark):
     rng = random.Random(3)
     a, b = sentence(rng, 30), sentence(rng, 30)
