@@ -67,8 +67,10 @@ def normalize_segments(path: Column) -> Column:
 
 
 def percent_decode(text: Column) -> Column:
-    """Percent escapes as UTF-8; a plus stays a plus, and text with an invalid escape stays as it is."""
-    return F.coalesce(F.try_url_decode(F.replace(text, F.lit("+"), F.lit("%2B"))), text)
+    """Percent escapes as UTF-8; a plus stays a plus, an invalid escape stays as it is, and bytes that are no UTF-8 become replacement characters."""
+    runs = F.regexp_extract_all(text, F.lit(r"(?:%[0-9A-Fa-f]{2})+|[^%]+|%"), F.lit(0))
+    decoded = F.transform(runs, lambda r: F.when(r.rlike("^%[0-9A-Fa-f]{2}"), F.make_valid_utf8(F.unhex(F.replace(r, F.lit("%"), F.lit(""))).cast("string"))).otherwise(r))
+    return F.when(text.contains("%"), F.array_join(decoded, "")).otherwise(text)
 
 
 def percent_encode(text: Column, keep_slash: bool = False) -> Column:

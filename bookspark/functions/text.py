@@ -36,6 +36,16 @@ def clean_string(text: Column) -> Column:
     return F.when(plain.rlike(r"[^\x00-\x7F]"), nfc(F.when(plain.rlike(r"[^\x00-\x7F]"), plain))).otherwise(plain)
 
 
+def _composed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    for s in batches:
+        yield s.map(lambda t: t is None or unicodedata.is_normalized("NFC", t)).astype(bool)
+
+
+def is_composed(text: Column) -> Column:
+    """Whether a text is in composed form."""
+    return F.pandas_udf(_composed, "boolean")(text)
+
+
 def xml_escape(text: Column, quote: bool = False) -> Column:
     out = strip_controls(text)
     for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), *((('"', "&quot;"),) if quote else ())):

@@ -41,12 +41,14 @@ def rule_hits(df: DataFrame, text: str, rules: list[Rule]) -> DataFrame:
 
 
 def metadata_rules(df: DataFrame, rules: list[Rule]) -> DataFrame:
-    """Rules on title, description, publisher, authors and subjects: a title never becomes blank, blank values vanish."""
+    """Rules on title, description, publisher, subjects and, where they are there, authors: a title never becomes blank, blank values vanish. Contributors, rights and series stay."""
 
     def one(c: Column) -> Column:
         return apply_to_text(c, rules)
 
     title = one(F.col("title"))
+    if "authors" in df.columns:
+        df = df.withColumn("authors", F.filter(F.transform("authors", lambda a: a.withField("name", one(a["name"]))), lambda a: F.trim(a["name"]) != ""))
     return df.withColumns(
         {
             "title": F.when(F.trim(title) == "", F.col("title")).otherwise(title),
@@ -57,6 +59,12 @@ def metadata_rules(df: DataFrame, rules: list[Rule]) -> DataFrame:
     )
 
 
+def toc_rules(toc: DataFrame, rules: list[Rule]) -> DataFrame:
+    """Rules on the labels of the contents; one that would become blank stays as it was."""
+    new = apply_to_text(F.col("title"), rules)
+    return toc.withColumn("title", F.when(F.trim(new) == "", F.col("title")).otherwise(new))
+
+
 def drop_resources(resources: DataFrame, protected: DataFrame, rules: list[Rule], path: str = "path") -> DataFrame:
     """Resources that a file rule names, without the protected ones (an anti join, no list on the driver)."""
     hit = reduce(lambda c, r: c | F.col(path).contains(r.match), [r for r in rules if r.action == "remove" and r.applies_to("file")], F.lit(False))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
@@ -191,6 +192,13 @@ def bake_lists(root: Node) -> int:
     return n
 
 
+def fast_blanks(line: str) -> str:
+    """Blanks at the start of a line, tabs as four, and runs of blanks within it as ones that neither fold nor break; a single blank between words stays."""
+    lead = len(line) - len(line.lstrip(" \t"))
+    inner = re.sub(" {2,}", lambda m: _NBSP * len(m[0]), line[lead:]).replace("\t", _NBSP * 4)
+    return line[:lead].replace("\t", _NBSP * 4).replace(" ", _NBSP) + inner
+
+
 def preserve_code(root: Node) -> int:
     """Preformatted text as a paragraph with its line ends and its blanks made fast."""
     found = root.find("pre")
@@ -199,9 +207,7 @@ def preserve_code(root: Node) -> int:
         for i, line in enumerate(e.plain().strip("\n").split("\n")):
             if i:
                 p.add(Node("br"))
-            line = line.replace("\t", "    ")
-            lead = len(line) - len(line.lstrip(" "))
-            p.add(Node("#text", text=_NBSP * lead + re.sub(" {2,}", lambda m: _NBSP * (len(m[0]) - 1) + " ", line[lead:])))
+            p.add(Node("#text", text=fast_blanks(line)))
         e.replace([p])
     return len(found)
 
@@ -248,3 +254,14 @@ def transform(df: DataFrame, doc: Column, html: Column, steps: tuple[str, ...] =
 
 def step_counts(pages: DataFrame) -> DataFrame:
     return pages.select(F.explode("steps").alias("s")).groupBy(F.col("s.kind").alias("kind")).agg(F.sum("s.n").alias("n"), F.count("*").alias("n_pages"))
+
+
+def compose_text(root: Node) -> int:
+    """Text in composed form, without control characters; how many nodes changed."""
+    n = 0
+    for e in root.walk():
+        if e.name == "#text":
+            new = unicodedata.normalize("NFC", re.sub("[\x00-\x08\x0b\x0c\x0e-\x1f﻿]", "", e.text))
+            n += new != e.text
+            e.text = new
+    return n

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from bookspark.functions import color, paths
 from bookspark.functions import text as tx
-from bookspark.operators import filters, lint, packing
+from bookspark.operators import filters, lint, naming, packing
 from bookspark.session import checkpointed
 from bookspark.session import table as t
 
@@ -224,11 +224,11 @@ def slugs(s, d):
     """Slugs of headings, later ones of a book numbered."""
     w = Window.partitionBy("book_id", "slug").orderBy("ord", "chapter_id")
     c = t(s, d, "chapters").select("book_id", "ord", "chapter_id", "title").distinct().withColumn("slug", tx.slugify(F.coalesce("title", F.lit(""))))
-    return c.withColumn("n", F.row_number().over(w)).select("chapter_id", F.when(F.col("n") > 1, F.concat("slug", F.lit("-"), (F.col("n") - 1).cast("string"))).otherwise(F.col("slug")).alias("anchor"))
+    return c.withColumn("n", F.row_number().over(w)).select("chapter_id", naming.suffixed(F.col("slug"), F.col("n")).alias("anchor"))
 
 
 SLUGS = r"""
-SELECT chapter_id, CASE WHEN n > 1 THEN slug || '-' || (n - 1) ELSE slug END AS anchor FROM (
+SELECT chapter_id, CASE WHEN n > 1 THEN slug || '-' || n ELSE slug END AS anchor FROM (
   SELECT *, row_number() OVER (PARTITION BY book_id, slug ORDER BY ord, chapter_id) AS n FROM (
     SELECT DISTINCT book_id, ord, chapter_id, coalesce(nullif(regexp_replace(regexp_replace(lower(coalesce(title, '')), '[^\p{L}\p{N}]+', '-', 'g'), '^-+|-+$', '', 'g'), ''), 'section') AS slug FROM chapters))
 """

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from bookspark.functions import paths
+from bookspark.functions import text as tx
 
 ENTRIES = "book_id string, ord int, raw_name string, path string, method string, size bigint, csize bigint, offset bigint, data binary, error string"
 MANIFEST = "book_id string, ord int, id string, path string, media_type string, properties array<string>"
@@ -80,9 +81,11 @@ def rights_managed(e: DataFrame) -> DataFrame:
 
 
 def package_paths(e: DataFrame) -> DataFrame:
-    """(book_id, opf_path) from the container file."""
-    c = e.where("path = 'META-INF/container.xml'").select("book_id", F.decode("data", "utf-8").alias("xml"))
-    tag = F.regexp_extract("xml", r'<(?:\w+:)?rootfile\b[^>]*full-path="([^"]*)"', 1)
+    """(book_id, opf_path) from the container file: the first root file that is a package."""
+    c = e.where("path = 'META-INF/container.xml'").select("book_id", F.col("data").cast("string").alias("xml"))
+    files = F.regexp_extract_all("xml", F.lit(r"<(?:\w+:)?rootfile\b[^>]*>"), F.lit(0))
+    package = F.try_element_at(F.filter(files, lambda t: t.contains("application/oebps-package+xml")), F.lit(1))
+    tag = F.regexp_extract(package, r"""full-path=["']([^"']*)["']""", 1)
     return c.select("book_id", paths.normalize_segments(paths.percent_decode(tag)).alias("opf_path")).where("opf_path <> ''")
 
 
@@ -113,6 +116,7 @@ def _parse(kind: str):
         elif kind == "spine":
             out = [(book, n, x.get("idref"), x.get("linear") != "no") for n, x in enumerate(y for y in section.get("spine", ()) if y.get("idref"))]
         else:
+            out.append((book, -1, "#package", None, {_local(k): v for k, v in root.attrib.items()}))
             for n, x in enumerate(section.get("metadata", ())):
                 out.append((book, n, _local(x.tag), " ".join("".join(x.itertext()).split()) or None, {_local(k): v for k, v in x.attrib.items()}))
         return out
@@ -137,7 +141,7 @@ def spine(e: DataFrame) -> DataFrame:
 
 
 def facts(e: DataFrame) -> DataFrame:
-    """Every element of the metadata section with its attributes, in order."""
+    """Every element of the metadata section with its attributes, in order, after the package itself with its own."""
     return package_documents(e).mapInPandas(_parse("facts"), FACTS)
 
 
@@ -146,23 +150,52 @@ def metadata(f: DataFrame) -> DataFrame:
     def first(name: str):
         return F.min_by("value", F.when((F.col("name") == name) & F.col("value").isNotNull(), F.col("ord")))
 
-    refined = f.where("name = 'meta' and attrs['refines'] is not null").select("book_id", F.substring(F.col("attrs")["refines"], 2, 999).alias("rid"), F.col("attrs")["property"].alias("property"), F.col("value").alias("rvalue"))
-    refinements = refined.groupBy("book_id", "rid").agg(F.min_by("rvalue", F.when(F.col("property") == "file-as", 1)).alias("r_file_as"), F.min_by("rvalue", F.when(F.col("property") == "role", 1)).alias("r_role"))
-    people = f.where("name in ('creator', 'contributor') and value is not null").withColumn("rid", F.col("attrs")["id"]).join(refinements, ["book_id", "rid"], "left")
-    person = F.struct("ord", F.col("value").alias("name"), F.coalesce(F.col("attrs")["file-as"], "r_file_as").alias("file_as"), F.coalesce(F.col("attrs")["role"], "r_role").alias("role"))
-
-    def listed(kind: str):
-        return F.transform(F.array_sort(F.collect_list(F.when(F.col("name") == kind, person))), lambda p: p.dropFields("ord"))
-
-    who = people.groupBy("book_id").agg(listed("creator").alias("authors"), listed("contributor").alias("contributors"))
-    meta = lambda n: F.min_by(F.col("attrs")["content"], F.when((F.col("name") == "meta") & (F.col("attrs")["name"] == n), F.col("ord")))
+    value = lambda p: F.min_by("rvalue", F.when((F.col("property") == p) & F.col("rvalue").isNotNull(), F.col("rord")))
+    refined = f.where("name = 'meta' and attrs['refines'] is not null").select("book_id", F.substring(F.col("attrs")["refines"], 2, 999).alias("rid"), F.col("attrs")["property"].alias("property"), F.col("value").alias("rvalue"), F.col("ord").alias("rord"))
+    refinements = refined.groupBy("book_id", "rid").agg(value("file-as").alias("r_file_as"), value("role").alias("r_role"), value("identifier-type").alias("r_scheme"), value("group-position").alias("r_position"))
+    named = f.withColumn("rid", F.col("attrs")["id"]).join(refinements, ["book_id", "rid"], "left")
+    attr = lambda a: tx.blank_to_null(F.col("attrs")[a])
+    person = F.struct("ord", F.col("value").alias("name"), F.coalesce(attr("file-as"), "r_file_as").alias("file_as"), F.coalesce(attr("role"), "r_role").alias("role"))
+    other = F.struct("ord", "rid", F.col("value").alias("value"), F.coalesce(attr("scheme"), "r_scheme").alias("scheme"))
+
+    def listed(kind: str, item=person):
+        return F.array_sort(F.collect_list(F.when((F.col("name") == kind) & F.col("value").isNotNull(), item)))
+
+    collection = (F.col("name") == "meta") & (F.col("attrs")["property"] == "belongs-to-collection")
+    lists = named.groupBy("book_id").agg(
+        F.transform(listed("creator"), lambda p: p.dropFields("ord")).alias("authors"), F.transform(listed("contributor"), lambda p: p.dropFields("ord")).alias("contributors"), listed("identifier", other).alias("ids"),
+        F.min_by(F.struct(F.col("value").alias("name"), F.col("r_position").alias("index")), F.when(collection, F.col("ord"))).alias("collection"), F.max(F.when(F.col("name") == "#package", F.col("attrs")["unique-identifier"])).alias("uid"),
+    )
+    meta = lambda n: F.min_by(tx.blank_to_null(F.col("attrs")["content"]), F.when((F.col("name") == "meta") & (F.col("attrs")["name"] == n), F.col("ord")))
     one = f.groupBy("book_id").agg(
-        F.coalesce(first("title"), F.lit("Untitled")).alias("title"), F.coalesce(first("language"), F.lit("en")).alias("language"), first("identifier").alias("identifier"),
+        F.coalesce(first("title"), F.lit("Untitled")).alias("title"), F.coalesce(first("language"), F.lit("en")).alias("language"),
         *[first(n).alias(n) for n in ("description", "publisher", "date", "rights")],
         F.transform(F.array_sort(F.collect_list(F.when((F.col("name") == "subject") & F.col("value").isNotNull(), F.struct("ord", "value")))), lambda x: x["value"]).alias("subjects"),
-        F.when(meta("calibre:series").isNotNull(), F.struct(meta("calibre:series").alias("name"), meta("calibre:series_index").alias("index"))).alias("series"),
+        F.when(meta("calibre:series").isNotNull(), F.struct(meta("calibre:series").alias("name"), meta("calibre:series_index").alias("index"))).alias("calibre"), meta("cover").alias("cover_id"),
     )
-    return one.join(who, "book_id", "left")
+    # the identifier that the package names, else the first one; the others are secondary
+    unique = F.coalesce(F.try_element_at(F.filter("ids", lambda i: i["rid"] == F.col("uid")), F.lit(1)), F.try_element_at("ids", F.lit(1)))
+    j = one.join(lists, "book_id", "left").withColumn("unique", unique)
+    rest = F.transform(F.filter("ids", lambda i: i["ord"] != F.col("unique.ord")), lambda i: i.dropFields("ord", "rid"))
+    series = F.coalesce(F.when(F.col("collection.name").isNotNull(), F.col("collection")), "calibre")
+    return j.select("book_id", "title", "language", F.col("unique.value").alias("identifier"), "authors", "contributors", F.coalesce(rest, F.array().cast("array<struct<value:string,scheme:string>>")).alias("identifiers"), "subjects", "description", "publisher", "date", "rights", series.alias("series"), "cover_id")
+
+
+def covers(meta: DataFrame, m: DataFrame, lint: bool = False) -> DataFrame:
+    """(book_id, path): the cover a reader shows, by the item that the metadata names if it is an image, else by property; a check looks the other way round."""
+    named = meta.select("book_id", F.col("cover_id").alias("id")).join(m.where("media_type like 'image/%'"), ["book_id", "id"]).select("book_id", F.col("path").alias("by_name"))
+    marked = m.where(F.array_contains("properties", "cover-image")).groupBy("book_id").agg(F.min_by("path", "ord").alias("by_property"))
+    both = named.join(marked, "book_id", "full")
+    order = ("by_property", "by_name") if lint else ("by_name", "by_property")
+    return both.select("book_id", F.coalesce(*order).alias("path"))
+
+
+def refused(e: DataFrame) -> DataFrame:
+    """(book_id, code, message) of archives that are not read: rights management, or too large for the plain format."""
+    from bookspark.operators import lint
+
+    drm = rights_managed(e).where("drm").select("book_id", F.lit("drm").alias("code"), F.lit("the book is protected by rights management").alias("message"))
+    return drm.unionByName(lint.zip64(e).select("book_id", F.lit("zip64").alias("code"), F.col("message")))
 
 
 def _toc(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

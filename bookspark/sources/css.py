@@ -73,10 +73,16 @@ def rules(df: DataFrame, sheet: Column, css: Column) -> DataFrame:
     return df.select(sheet.cast("string").alias("sheet"), css.alias("css")).mapInPandas(_rules, RULES)
 
 
+def plain_media(at_rule: Column) -> Column:
+    """Whether a media rule has a member that is all or screen, without negation and condition."""
+    members = F.split(F.regexp_extract(F.lower(at_rule), r"^@media\s+(.*)$", 1), ",")
+    return F.exists(members, lambda m: m.rlike(r"^\s*(?:only\s+)?(?:all|screen)\s*$"))
+
+
 def subset(r: DataFrame) -> DataFrame:
-    """Declarations that a small reader supports: plain selectors, plain properties, all and screen media."""
-    media = F.col("at_rule").isNull() | F.lower("at_rule").rlike(r"^@media\s+(?:only\s+)?(?:all|screen)\s*$")
-    return r.where(F.col("selector").isNotNull() & media & filters.selector_supported(F.col("selector")) & filters.property_supported(F.col("prop"), F.col("value")))
+    """Declarations that a small reader supports: plain selectors, plain properties. Rules for all or screen media come out of their block, marks of importance go."""
+    kept = r.where(F.col("selector").isNotNull() & (F.col("at_rule").isNull() | plain_media(F.col("at_rule"))) & filters.selector_supported(F.col("selector")) & filters.property_supported(F.col("prop"), F.col("value")))
+    return kept.withColumn("at_rule", F.lit(None).cast("string")).withColumn("important", F.lit(False))
 
 
 def sanitized(r: DataFrame) -> DataFrame:
@@ -85,9 +91,28 @@ def sanitized(r: DataFrame) -> DataFrame:
 
 
 def emit(r: DataFrame) -> DataFrame:
-    """(sheet, css): the rules of each sheet as compact text, in order."""
-    decls = r.where("selector is not null").groupBy("sheet", "rule_ord", "selector").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("decl_ord", F.concat("prop", F.lit(":"), "value").alias("d")))), lambda x: x["d"]), ";").alias("body"))
-    return decls.groupBy("sheet").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rule_ord", "selector", "body"))), lambda x: F.concat(x["selector"], F.lit("{"), x["body"], F.lit("}"))), "").alias("css"))
+    """(sheet, css): the rules of each sheet as compact text, in order; conditions around a rule, statements and marks of importance are kept."""
+    one = F.concat("prop", F.lit(":"), "value", F.when(F.col("important"), "!important").otherwise(""))
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("decl_ord", one.alias("d")))), lambda x: x["d"]), ";")
+    rules_ = r.where("selector is not null").groupBy("sheet", "rule_ord", "at_rule", "selector").agg(body.alias("body"))
+    plain = F.concat("selector", F.lit("{"), "body", F.lit("}"))
+    styled = rules_.select("sheet", "rule_ord", "selector", F.when(F.col("at_rule").isNull(), plain).otherwise(F.concat("at_rule", F.lit("{"), plain, F.lit("}"))).alias("text"))
+    at = r.where("selector is null").select("sheet", "rule_ord", F.lit("").alias("selector"), F.when(F.col("value").isNull(), F.concat("at_rule", F.lit(";"))).otherwise(F.concat("at_rule", F.lit("{"), "value", F.lit("}"))).alias("text"))
+    every = styled.unionByName(at).groupBy("sheet").agg(F.array_sort(F.collect_list(F.struct("rule_ord", "selector", "text"))).alias("all"))
+    return every.select("sheet", F.array_join(F.transform("all", lambda x: x["text"]), "").alias("css"))
+
+
+def part_path(path: Column, part: Column) -> Column:
+    """The name of a part of a sheet: the first keeps it, later ones get -2, -3 before the extension."""
+    dot = path.rlike(r"\.[^./]*$")
+    numbered = F.when(dot, F.concat(F.regexp_replace(path, r"\.[^.]*$", ""), F.lit("-"), part.cast("string"), F.regexp_extract(path, r"(\.[^.]*)$", 1))).otherwise(F.concat(path, F.lit("-"), part.cast("string")))
+    return F.when(part > 1, numbered).otherwise(path)
+
+
+def rule_total(sheets: DataFrame, css: Column, cap: int | None = None) -> DataFrame:
+    """(book_id, n_rules, over_cap): closing braces of all sheets of a book."""
+    n = sheets.groupBy("book_id").agg(F.coalesce(F.sum(F.regexp_count(css, F.lit(r"\}"))), F.lit(0)).alias("n_rules"))
+    return n.withColumn("over_cap", F.col("n_rules") > cap if cap is not None else F.lit(False))
 
 
 def scoped(r: DataFrame, n: DataFrame) -> DataFrame:
@@ -101,7 +126,7 @@ def scoped(r: DataFrame, n: DataFrame) -> DataFrame:
 
 
 def split_by_bytes(css: Column, limit: int) -> Column:
-    """Sheets of at most ``limit`` bytes: rules in order, a longer rule alone."""
-    found = F.regexp_extract_all(css, F.lit(r"[^{}]+\{[^{}]*\}"), F.lit(0))
+    """Sheets of at most ``limit`` bytes: rules in order, statements and blocks with rules inside each as a whole, a longer one alone."""
+    found = F.regexp_extract_all(css, F.lit(r"@[^;{}]*;\s*|[^{}]+\{(?:[^{}]*\{[^{}]*\})*[^{}]*\}\s*"), F.lit(0))
     fold = F.aggregate(found, F.array().cast("array<string>"), lambda acc, x: F.when((F.size(acc) > 0) & (F.octet_length(F.element_at(acc, -1)) + F.octet_length(x) <= limit), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.concat(F.element_at(acc, -1), x)))).otherwise(F.concat(acc, F.array(x))))
     return F.when(F.octet_length(css) <= limit, F.array(css)).otherwise(fold)

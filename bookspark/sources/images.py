@@ -19,6 +19,18 @@ def sniff(data: Column) -> Column:
     )
 
 
+def is_svg(data: Column) -> Column:
+    """Whether the root element in the first bytes is that of a vector picture, behind marks, declarations and comments."""
+    head = F.decode(F.substring(data, 1, 4096), "iso-8859-1")
+    return head.rlike(r"(?is)^(?:\x{EF}\x{BB}\x{BF})?\s*(?:<\?.*?\?>\s*|<!--.*?-->\s*|<!DOCTYPE[^>\[]*(?:\[.*?\])?\s*>\s*)*<(?:\w+:)?svg[\s>/]")
+
+
+def is_candidate(data: Column, declared: Column) -> Column:
+    """Whether an entry is a raster picture to work on: never vector; a declared raster type or raster bytes."""
+    d = F.lower(F.coalesce(declared, F.lit("")))
+    return ~is_svg(data) & (d != "image/svg+xml") & (d.startswith("image/") | sniff(data).isNotNull())
+
+
 def _number(data: Column, at: int, n: int, little: bool = False) -> Column:
     h = F.hex(F.substring(data, at, n))
     if little:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bookspark.functions import text as tx
+from bookspark.operators import naming
 
 BLOCKS = "doc string, ord int, kind string, level int, text string"
 _FENCE = re.compile(r"^ {0,3}(`{3,}|~{3,})")
@@ -86,7 +87,7 @@ def heading_anchors(c: DataFrame) -> DataFrame:
     """(doc, chunk, ord, anchor): slugs of headings, numbered within a chapter where they repeat."""
     h = c.where("kind = 'heading'").withColumn("slug", tx.slugify(F.col("text")))
     n = F.row_number().over(Window.partitionBy("doc", "chunk", "slug").orderBy("ord"))
-    return h.withColumn("n", n).select("doc", "chunk", "ord", F.when(F.col("n") > 1, F.concat("slug", F.lit("-"), (F.col("n") - 1).cast("string"))).otherwise(F.col("slug")).alias("anchor"))
+    return h.withColumn("n", n).select("doc", "chunk", "ord", naming.suffixed(F.col("slug"), F.col("n")).alias("anchor"))
 
 
 def note_homes(b: DataFrame, c: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ CASES = [
     ("<aside> </aside><aside>x <b>y</b></aside><aside><p>z</p></aside>", "boxes", "<p>x <b>y</b></p><p>z</p>"),
     ("<figure><figcaption>c</figcaption><img src='i'/></figure>", "boxes", '<img src="i"/><p>c</p>'),
     ("<dl><dt>t</dt><dd>d</dd></dl>", "boxes", "<p>t</p><p>d</p>"),
-    ("<pre>a\n  b  c</pre>", "code", "<p>a<br/>  b  c</p>"),
+    ("<pre>a\n  b  c d</pre>", "code", "<p>a<br/>\u00a0\u00a0b\u00a0\u00a0c d</p>"),
     ("<a href='javascript:go(\"#n1\")'>x</a><a href=' JavaScript:z()'>y</a>", "links", '<a href="#n1">x</a>y'),
     ("<p id='a'>x</p><p id='a'>y</p>", "ids", '<p id="a">x</p><p>y</p>'),
 ]
