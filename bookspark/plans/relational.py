@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from bookspark.functions import color, paths
 from bookspark.functions import text as tx
-from bookspark.operators import filters, lint, naming, packing
-from bookspark.session import checkpointed
+from bookspark.operators import filters, lint, naming, packing, pages, relations
 from bookspark.session import table as t
+from bookspark.sources import css
 
 RULES = [filters.Rule("replace", "harbour", "haven"), filters.Rule("remove", " slowly"), filters.Rule("replace", "haven", "port", frozenset({"text", "href"}))]
 
@@ -39,6 +38,20 @@ SELECT book_id, read_at, CASE WHEN trim(x(title)) = '' THEN title ELSE x(title)
 METADATA_RULES = METADATA_RULES.replace("x(title)", "replace(replace(title, 'The ', ''), 'Press', 'House')").replace("w(x(description))", r"trim(regexp_replace(replace(replace(description, 'The ', ''), 'Press', 'House'), '[\s\p{Z}\x0B]+', ' ', 'g'))").replace("w(x(publisher))", r"trim(regexp_replace(replace(replace(publisher, 'The ', ''), 'Press', 'House'), '[\s\p{Z}\x0B]+', ' ', 'g'))")
 
 
+PAGE_RULES = [filters.Rule("replace", "harbour", "haven"), filters.Rule("remove", " slowly"), filters.Rule("remove", "#n1", targets=frozenset({"href"}))]
+
+
+def rules_pages(s, d):
+    """Content rules on the text and links of every page: how often each applied."""
+    c = t(s, d, "chapters").select("chapter_id", "body_html", F.xxhash64("body_html").alias("h"))
+    r = pages.rule_pages(c, F.col("chapter_id"), F.col("body_html"), PAGE_RULES)
+    return r.groupBy(F.col("doc").cast("long").alias("chapter_id")).agg(F.max("replaced").alias("replaced"), F.max("removed").alias("removed"), F.max("links").alias("links"))
+
+
+_COUNT = "coalesce(list_sum(list_transform(regexp_extract_all('>' || body_html || '<', '>([^<]*)', 1), lambda x: (length(x) - length(replace(x, '{0}', ''))) // {1})), 0)::INT"
+RULES_PAGES = f"""SELECT chapter_id, {_COUNT.format('harbour', 7)} AS replaced, {_COUNT.format(' slowly', 7)} AS removed, len(regexp_extract_all(body_html, '<a [^>]*href="[^"]*#n1[^"]*"'))::INT AS links FROM (SELECT DISTINCT chapter_id, coalesce(body_html, '') AS body_html FROM chapters)"""
+
+
 def drop_resources(s, d):
     files = t(s, d, "warnings").where("file is not null and book_id is not null").select("book_id", F.col("file").alias("path")).distinct()
     kept = t(s, d, "chapters").select("book_id", "path").distinct()
@@ -49,41 +62,49 @@ DROP = "SELECT DISTINCT w.book_id, w.file AS path FROM warnings w WHERE w.file I
 
 
 def css_subset(s, d):
-    """Class selectors that the chapters' tags use, against the style subset."""
-    cls = t(s, d, "chapters").select(F.explode(F.regexp_extract_all("body_html", F.lit(r"<(\w+) class=\"([^\"]*)\""), F.lit(0))).alias("m"))
-    sel = cls.select(F.concat(F.regexp_extract("m", r"<(\w+)", 1), F.lit("."), F.regexp_replace(F.regexp_extract("m", r'"([^"]*)"', 1), r"\s+", ".")).alias("selector"))
-    return sel.groupBy("selector").agg(F.count("*").alias("n")).select("selector", "n", filters.selector_supported(F.col("selector")).alias("supported"), filters.property_supported(F.lit("margin"), F.concat(F.lit("calc("), "n", F.lit("px)"))).alias("modern_kept"))
+    """Class selectors that the chapters' tags use, and a property of each chapter's block sizes, against the style subset."""
+    cls = t(s, d, "chapters").select("profile", F.explode(F.regexp_extract_all("body_html", F.lit(r"<(\w+) class=\"([^\"]*)\""), F.lit(0))).alias("m"))
+    sel = cls.select("profile", F.concat(F.regexp_extract("m", r"<(\w+)", 1), F.lit("."), F.regexp_replace(F.regexp_extract("m", r'"([^"]*)"', 1), r"\s+", "."), F.when(F.col("profile").isNull(), ":first").otherwise("")).alias("selector"))
+    value = F.concat(F.when(F.length(F.coalesce("profile", F.lit(""))) % 2 == 0, F.lit("calc(")).otherwise(F.lit("")), F.coalesce("profile", F.lit("0")))
+    name = F.when(F.length(F.coalesce("profile", F.lit(""))) % 3 == 0, "margin").when(F.length(F.coalesce("profile", F.lit(""))) % 3 == 1, "display").otherwise("vertical-align")
+    g = sel.groupBy("selector", "profile").agg(F.count("*").alias("n"))
+    return g.select("selector", "profile", "n", filters.selector_supported(F.col("selector")).alias("supported"), filters.uses_modern_function(value).alias("modern"), filters.property_supported(name, value).alias("kept"))
 
 
 CSS_SUBSET = r"""
-SELECT selector, count(*) AS n, regexp_matches(selector, '^([A-Za-z0-9_-]+)?(\.[A-Za-z0-9_-]+)?$') AS supported, false AS modern_kept
-FROM (SELECT regexp_extract(m, '<(\w+)', 1) || '.' || regexp_replace(regexp_extract(m, '"([^"]*)"', 1), '\s+', '.', 'g') AS selector FROM (SELECT unnest(regexp_extract_all(body_html, '<(\w+) class="([^"]*)"', 0)) AS m FROM chapters))
-GROUP BY selector
+SELECT selector, profile, count(*) AS n, regexp_matches(selector, '^([A-Za-z0-9_-]+)?(\.[A-Za-z0-9_-]+)?$') AS supported, length(coalesce(profile, '')) % 2 = 0 AS modern, length(coalesce(profile, '')) % 3 = 0 AND length(coalesce(profile, '')) % 2 = 1 AS kept
+FROM (SELECT profile, regexp_extract(m, '<(\w+)', 1) || '.' || regexp_replace(regexp_extract(m, '"([^"]*)"', 1), '\s+', '.', 'g') || CASE WHEN profile IS NULL THEN ':first' ELSE '' END AS selector FROM (SELECT profile, unnest(regexp_extract_all(body_html, '<(\w+) class="([^"]*)"', 0)) AS m FROM chapters))
+GROUP BY selector, profile
 """
 
 
 def numeric_share(s, d):
-    cells = t(s, d, "chapters").select("chapter_id").distinct().join(t(s, d, "chapters").dropDuplicates(["chapter_id"]).select("chapter_id", F.explode(F.regexp_extract_all("body_html", F.lit(r"<td>([^<]*)</td>"), F.lit(1))).alias("cell")), "chapter_id")
-    bare = F.regexp_replace("cell", r"[$€£%,()+\-.\s]", "")
-    return cells.where(F.trim("cell") != "").groupBy("chapter_id").agg(F.round(F.avg(bare.rlike("^[0-9]+$").cast("double")), 4).alias("share"), F.count("*").alias("n_cells"))
+    """Share of numbers among the body cells of each chapter's tables, and how many tables it has."""
+    f = relations.table_facts(relations.tables_of(t(s, d, "chapters"), "chapter_id", "body_html"))
+    return f.groupBy("chapter_id").agg(F.round(F.avg("numeric"), 4).alias("share"), F.count("*").alias("n_tables"))
 
 
-NUMERIC = r"SELECT chapter_id, round(avg(regexp_matches(regexp_replace(cell, '[$€£%,()+\-.\s]', '', 'g'), '^[0-9]+$')::INT), 4) AS share, count(*) AS n_cells FROM (SELECT chapter_id, unnest(regexp_extract_all(body_html, '<td>([^<]*)</td>', 1)) AS cell FROM (SELECT DISTINCT chapter_id, body_html FROM chapters)) WHERE trim(cell) <> '' GROUP BY chapter_id"
+_TABLES = r"""
+(SELECT *, CASE WHEN headed THEN rows[2:] ELSE rows END AS body FROM (SELECT *, coalesce(NOT contains(rows[1], '<td') AND contains(rows[1], '<th'), false) AS headed FROM (
+  SELECT chapter_id, generate_subscripts(ts, 1)::INT - 1 AS table_id, unnest(ts) AS html, regexp_extract_all(unnest(ts), '(?s)<tr>(.*?)</tr>', 1) AS rows FROM (SELECT chapter_id, regexp_extract_all(body_html, '(?s)<table>.*?</table>', 0) AS ts FROM (SELECT DISTINCT chapter_id, body_html FROM chapters)))))
+"""
+_CELLS = "list_filter(list_transform(regexp_extract_all(array_to_string(body, chr(10)), '(?s)<t[dh]>(.*?)</t[dh]>', 1), lambda c: trim(regexp_replace(c, '<[^>]*>', '', 'g'))), lambda c: c <> '')"
+_NUMERIC = rf"(CASE WHEN len({_CELLS}) > 0 THEN len(list_filter({_CELLS}, lambda c: regexp_matches(regexp_replace(c, '[$€£%,()+\-.\s]', '', 'g'), '^[0-9]+$'))) / len({_CELLS}) ELSE 0.0 END)"
+NUMERIC = f"SELECT chapter_id, round(avg({_NUMERIC}), 4) AS share, count(*) AS n_tables FROM {_TABLES} GROUP BY chapter_id"
 
 
 def table_grid(s, d):
-    """Per table its rows with the header, widest row, and whether it is kept as text."""
-    tab = t(s, d, "chapters").dropDuplicates(["chapter_id"]).select("chapter_id", F.posexplode(F.regexp_extract_all("body_html", F.lit(r"(?s)<table>.*?</table>"), F.lit(0))).alias("table_id", "html"))
-    rows = F.regexp_extract_all("html", F.lit(r"(?s)<tr>(.*?)</tr>"), F.lit(1))
-    g = tab.select("chapter_id", "table_id", F.size(rows).alias("n_rows"), F.array_max(F.transform(rows, lambda r: F.regexp_count(r, F.lit("<t[dh]>")))).alias("n_columns"), F.col("html").rlike("<img|<a |id=").alias("holds_links"))
-    fate = F.when(F.col("holds_links") | (F.col("n_rows") > 24), "text").when(F.col("n_columns") >= 3, "image").otherwise("text")
-    return g.withColumn("fate", fate)
-
-
-GRID = r"""
-SELECT chapter_id, table_id, len(rows)::INT AS n_rows, list_max(list_transform(rows, lambda r: len(regexp_extract_all(r, '<t[dh]>'))))::INT AS n_columns, regexp_matches(html, '<img|<a |id=') AS holds_links,
-  CASE WHEN regexp_matches(html, '<img|<a |id=') OR len(rows) > 24 THEN 'text' WHEN list_max(list_transform(rows, lambda r: len(regexp_extract_all(r, '<t[dh]>')))) >= 3 THEN 'image' ELSE 'text' END AS fate
-FROM (SELECT chapter_id, generate_subscripts(ts, 1)::INT - 1 AS table_id, unnest(ts) AS html, regexp_extract_all(unnest(ts), '(?s)<tr>(.*?)</tr>', 1) AS rows FROM (SELECT chapter_id, regexp_extract_all(body_html, '(?s)<table>.*?</table>', 0) AS ts FROM (SELECT DISTINCT chapter_id, body_html FROM chapters)))
+    """Per table its rows, body rows and widest row, and whether it becomes a picture or stays text."""
+    f = relations.table_facts(relations.tables_of(t(s, d, "chapters"), "chapter_id", "body_html"))
+    return f.select("chapter_id", "table_id", "n_rows", "n_body", "n_columns", (F.col("holds_links") | F.col("holds_ids") | F.col("holds_images")).alias("holds_links"), relations.table_fate("image").alias("fate"))
+
+
+_HOLDS = r"regexp_matches(html, '<img|<svg|<image|<a [^>]*href=|\sid=.[^ ]')"
+_COLUMNS = "list_max(list_transform(rows, lambda r: len(regexp_extract_all(r, '<t[dh]>'))))"
+GRID = f"""
+SELECT chapter_id, table_id, len(rows)::INT AS n_rows, len(body)::INT AS n_body, {_COLUMNS}::INT AS n_columns, {_HOLDS} AS holds_links,
+  CASE WHEN {_HOLDS} OR len(body) > 24 THEN 'text' WHEN {_COLUMNS} >= 3 OR {_NUMERIC} > 0.5 THEN 'image' ELSE 'text' END AS fate
+FROM {_TABLES}
 """
 
 
@@ -114,7 +135,7 @@ SELECT book_id, ord, idref, path FROM (SELECT *, bool_or(linear) OVER (PARTITION
 
 def toc(s, d):
     toc_rows = t(s, d, "warnings").where("file is not null").select("book_id", F.col("file").alias("path"), F.when(F.col("warning_id") % 2 == 0, F.concat(F.lit("c"), (F.col("warning_id") % 9).cast("string"))).alias("fragment")).distinct()
-    chapters = t(s, d, "chapters").dropDuplicates(["chapter_id"]).select("book_id", "path", "body_html")
+    chapters = t(s, d, "chapters")
     ids = chapters.select("book_id", "path", F.explode(F.regexp_extract_all("body_html", F.lit(r'\sid="([^"]*)"'), F.lit(1))).alias("id"))
     return lint.toc_targets(toc_rows, chapters.select("book_id", "path").distinct(), ids.distinct())
 
@@ -164,14 +185,14 @@ GROUP BY ROLLUP (book_id, severity) HAVING severity IS NOT NULL OR book_id IS NU
 
 def by_kind(s, d):
     w = t(s, d, "warnings").select("warning_id", F.regexp_extract("message", r"^(\w+)", 1).alias("kind"))
-    return w.groupBy("kind").agg(F.count("*").alias("n"), F.min("warning_id").alias("first_seen"))
+    return relations.by_kind(w, "kind", "warning_id")
 
 
 def rename_chain(s, d):
     """Vector names to raster names to final names: the later renaming wins where it knows the name."""
     w = t(s, d, "warnings").where("file is not null").select("book_id", F.col("file").alias("a"), paths.with_extension(F.col("file"), "png").alias("b")).distinct()
     x = t(s, d, "chapters").groupBy("book_id", paths.with_extension(F.col("path"), "png").alias("b")).agg(F.concat(F.lit("img/"), F.min("ord").cast("string"), F.lit(".jpg")).alias("c"))
-    return w.join(x, ["book_id", "b"], "left").select("book_id", "a", F.coalesce("c", "b").alias("final"))
+    return relations.compose_renames(w, x)
 
 
 _PNG = r"CASE WHEN contains({0}, '/') THEN regexp_extract({0}, '^(.*)/[^/]*$', 1) || '/' ELSE '' END || regexp_replace(string_split({0}, '/')[-1], '(.)\.[^.]*$', '\1') || '.png'"
@@ -179,9 +200,8 @@ RENAMES = f"WITH w AS (SELECT DISTINCT book_id, file AS a, {_PNG.format('file')}
 
 
 def referenced_fragments(s, d):
-    a = t(s, d, "chapters").select("book_id", F.explode(F.regexp_extract_all("body_html", F.lit(r'href="[^"#]*#([^"]+)"'), F.lit(1))).alias("fragment"))
-    b = t(s, d, "warnings").select("book_id", F.concat(F.lit("n"), (F.col("warning_id") % 5).cast("string")).alias("fragment"))
-    return a.union(b).distinct()
+    named = t(s, d, "warnings").select("book_id", F.concat(F.lit("n"), (F.col("warning_id") % 5).cast("string")).alias("fragment"))
+    return relations.referenced_fragments(t(s, d, "chapters").select("book_id", F.col("body_html").alias("html")), named)
 
 
 FRAGMENTS = r"""SELECT book_id, unnest(regexp_extract_all(body_html, 'href="[^"#]*#([^"]+)"', 1)) AS fragment FROM chapters UNION SELECT book_id, 'n' || warning_id % 5 FROM warnings"""
@@ -189,16 +209,17 @@ FRAGMENTS = r"""SELECT book_id, unnest(regexp_extract_all(body_html, 'href="[^"#
 
 def declared_type(s, d):
     """The first declared profile of each file a warning names."""
-    c = t(s, d, "chapters").groupBy("book_id", F.col("path").alias("file")).agg(F.min_by("profile", F.struct("ord", "chapter_id")).alias("declared"))
-    return t(s, d, "warnings").where("file is not null").select("warning_id", "book_id", "file").join(c, ["book_id", "file"], "left").select("warning_id", "declared").distinct()
+    m = t(s, d, "chapters").select("book_id", "path", F.col("profile").alias("media_type"), F.struct("ord", "chapter_id").alias("ord"))
+    w = t(s, d, "warnings").where("file is not null").select("warning_id", "book_id", F.col("file").alias("path"))
+    return lint.declared_types(w, m).select("warning_id", "declared").distinct()
 
 
 DECLARED = "WITH c AS (SELECT book_id, path, (array_agg(profile ORDER BY ord, chapter_id))[1] AS declared FROM chapters GROUP BY ALL) SELECT DISTINCT warning_id, declared FROM warnings w LEFT JOIN c ON w.book_id = c.book_id AND w.file = c.path WHERE file IS NOT NULL"
 
 
 def keep_first(s, d):
-    w = Window.partitionBy("book_id", "path").orderBy("ord", "chapter_id")
-    return t(s, d, "chapters").select("book_id", "path", "ord", "chapter_id").distinct().withColumn("rn", F.row_number().over(w)).select("chapter_id", (F.col("rn") == 1).alias("keeps_id"))
+    c = t(s, d, "chapters").select("book_id", "path", "ord", "chapter_id").distinct()
+    return naming.keep_first(c, ["book_id", "path"], ["ord", "chapter_id"], "keeps_id").select("chapter_id", "keeps_id")
 
 
 KEEP_FIRST = "SELECT chapter_id, row_number() OVER (PARTITION BY book_id, path ORDER BY ord, chapter_id) = 1 AS keeps_id FROM (SELECT DISTINCT book_id, path, ord, chapter_id FROM chapters)"
@@ -206,11 +227,8 @@ KEEP_FIRST = "SELECT chapter_id, row_number() OVER (PARTITION BY book_id, path O
 
 def numbering(s, d):
     """Ordered-list numbers: a start value, restarted by every line whose quantity is a multiple of ten."""
-    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber")
-    li = t(s, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_quantity").alias("q")).select("l_orderkey", "l_linenumber", F.when(F.col("q") % 10 == 0, F.col("q").cast("int")).alias("value"))
-    island = li.withColumn("island", F.count("value").over(w))
-    v = Window.partitionBy("l_orderkey", "island").orderBy("l_linenumber")
-    return island.withColumn("number", (F.coalesce(F.first("value").over(v), F.lit(1)) + F.row_number().over(v) - 1).cast("int")).select("l_orderkey", "l_linenumber", "number")
+    li = t(s, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_quantity").alias("q"))
+    return naming.island_numbers(li, "l_orderkey", "l_linenumber", F.when(F.col("q") % 10 == 0, F.col("q").cast("int")), "number").select("l_orderkey", "l_linenumber", "number")
 
 
 NUMBERING = """
@@ -222,9 +240,8 @@ WINDOW v AS (PARTITION BY l_orderkey, island ORDER BY l_linenumber)
 
 def slugs(s, d):
     """Slugs of headings, later ones of a book numbered."""
-    w = Window.partitionBy("book_id", "slug").orderBy("ord", "chapter_id")
     c = t(s, d, "chapters").select("book_id", "ord", "chapter_id", "title").distinct().withColumn("slug", tx.slugify(F.coalesce("title", F.lit(""))))
-    return c.withColumn("n", F.row_number().over(w)).select("chapter_id", naming.suffixed(F.col("slug"), F.col("n")).alias("anchor"))
+    return naming.dedupe(c, ["book_id"], "slug", ["ord", "chapter_id"], "anchor").select("chapter_id", "anchor")
 
 
 SLUGS = r"""
@@ -235,18 +252,18 @@ SELECT chapter_id, CASE WHEN n > 1 THEN slug || '-' || n ELSE slug END AS anchor
 
 
 def id_cap(s, d):
-    """Books with more than 20 chapters lose the anchors that no warning names."""
-    c = t(s, d, "chapters").select("book_id", "chapter_id", "path").distinct()
-    many = c.withColumn("n", F.count("*").over(Window.partitionBy("book_id"))).where("n > 20")
-    return many.join(t(s, d, "warnings").select("book_id", F.col("file").alias("path")), ["book_id", "path"], "left_anti").groupBy("book_id").agg(F.count("*").alias("dropped"))
+    """Anchors of books with more than eight chapters that no warning names, per book and profile."""
+    c = t(s, d, "chapters").select("book_id", "chapter_id", F.col("path").alias("id"), "profile").distinct()
+    gone = naming.cap_ids(c, t(s, d, "warnings").where("file is not null").select("book_id", F.col("file").alias("fragment")), ["book_id"], 8)
+    return gone.groupBy("book_id", "profile").agg(F.count("*").alias("dropped"))
 
 
-ID_CAP = "SELECT book_id, count(*) AS dropped FROM (SELECT *, count(*) OVER (PARTITION BY book_id) AS n FROM (SELECT DISTINCT book_id, chapter_id, path FROM chapters)) c WHERE n > 20 AND NOT EXISTS (SELECT 1 FROM warnings w WHERE w.book_id = c.book_id AND w.file = c.path) GROUP BY book_id"
+ID_CAP = "SELECT book_id, profile, count(*) AS dropped FROM (SELECT *, count(*) OVER (PARTITION BY book_id) AS n FROM (SELECT DISTINCT book_id, chapter_id, path, profile FROM chapters)) c WHERE n > 8 AND NOT EXISTS (SELECT 1 FROM warnings w WHERE w.book_id = c.book_id AND w.file = c.path) GROUP BY book_id, profile"
 
 
 def greedy_pack(s, d):
     """Blocks of a chapter packed into parts of at most 2,000 bytes."""
-    c = t(s, d, "chapters").dropDuplicates(["chapter_id"]).where("size(nodes) > 0").select("chapter_id", F.expr("transform(nodes, x -> x.n_bytes)").alias("sizes"))
+    c = t(s, d, "chapters").where("size(nodes) > 0").select("chapter_id", F.expr("transform(nodes, x -> x.n_bytes)").alias("sizes")).distinct()
     z = c.withColumn("bin", packing.greedy_bins(F.col("sizes"), F.lit(2000)))
     return z.select("chapter_id", F.inline(F.arrays_zip("bin", "sizes"))).groupBy("chapter_id", "bin").agg(F.sum("sizes").alias("n_bytes"), F.count("*").alias("n_blocks"))
 
@@ -280,7 +297,7 @@ FROM (SELECT *, floor(x) AS f FROM (SELECT l_orderkey, l_linenumber, q * 1000 /
 
 def histogram(s, d):
     e = t(s, d, "embeddings").select("label", F.explode("embedding").alias("v"))
-    return e.select("label", F.greatest(F.lit(0), F.least(F.lit(255), F.floor(F.col("v").cast("double") * 64 + 128))).cast("int").alias("tone")).groupBy("label", "tone").agg(F.count("*").alias("n"))
+    return relations.tone_histogram(e.select("label", F.greatest(F.lit(0), F.least(F.lit(255), F.floor(F.col("v").cast("double") * 64 + 128))).cast("int").alias("tone")), "label")
 
 
 HISTOGRAM = "SELECT label, greatest(0, least(255, floor(v::DOUBLE * 64 + 128)))::INT AS tone, count(*) AS n FROM (SELECT label, unnest(embedding) AS v FROM embeddings) GROUP BY ALL"
@@ -288,11 +305,7 @@ HISTOGRAM = "SELECT label, greatest(0, least(255, floor(v::DOUBLE * 64 + 128))):
 
 def tone_kind(s, d):
     """Line art if a label has at most sixteen tones or two tones make 85 % of it; bounds at one per cent from either end."""
-    h = histogram(s, d)
-    w = Window.partitionBy("label")
-    up = h.withColumn("total", F.sum("n").over(w)).withColumn("below", F.sum("n").over(w.orderBy("tone").rowsBetween(Window.unboundedPreceding, 0))).withColumn("above", F.sum("n").over(w.orderBy(F.desc("tone")).rowsBetween(Window.unboundedPreceding, 0))).withColumn("rank", F.row_number().over(w.orderBy(F.desc("n"), "tone")))
-    g = up.groupBy("label").agg(F.count("*").alias("tones"), F.round(F.sum(F.when(F.col("rank") <= 2, F.col("n")).otherwise(0)) / F.max("total"), 4).alias("top_two"), F.min(F.when(F.col("below") * 100 > F.col("total"), F.col("tone"))).alias("low"), F.max(F.when(F.col("above") * 100 > F.col("total"), F.col("tone"))).alias("high"))
-    return g.withColumn("line_art", (F.col("tones") <= 16) | (F.col("top_two") >= 0.85))
+    return relations.tone_kind(histogram(s, d), "label")
 
 
 TONE_KIND = f"""
@@ -304,10 +317,8 @@ FROM (SELECT *, sum(n) OVER (PARTITION BY label) AS total, sum(n) OVER (PARTITIO
 
 def nearest_level(s, d):
     """The panel level nearest to each part's tone, the darker of two equals."""
-    levels = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(v).alias("v")) for i, v in enumerate(color.panel_levels(16))])
     p = t(s, d, "part").select("p_partkey", (F.col("p_partkey") * 37 % 256).cast("int").alias("tone"))
-    best = F.array_min(F.transform(levels, lambda x: F.struct(F.abs(x.v - F.col("tone")).alias("gap"), x.v.alias("v"))))
-    return p.select("p_partkey", "tone", best.getField("v").alias("level"))
+    return p.select("p_partkey", "tone", relations.nearest_level(F.col("tone"), 16).alias("level"))
 
 
 NEAREST = f"SELECT p_partkey, (p_partkey * 37 % 256)::INT AS tone, arg_min(v, abs(v - p_partkey * 37 % 256) * 1000 + v)::INT AS level FROM part, (SELECT unnest({color.panel_levels(16)}) AS v) GROUP BY p_partkey"
@@ -324,8 +335,7 @@ PALETTE = "SELECT level, count(*) AS colours, sum(weight)::BIGINT AS weight, rou
 
 
 def run_stats(s, d):
-    v = t(s, d, "convert_stats").distinct()
-    return v.groupBy("profile").agg(F.count("*").alias("runs"), F.countDistinct("book_id").alias("books"), F.sum("bytes_in").alias("bytes_in"), F.sum("bytes_out").alias("bytes_out"), F.sum("images_processed").alias("images"), F.sum("chapters_split").alias("chapters_split"), F.sum("warnings").alias("warnings"))
+    return relations.run_stats(t(s, d, "convert_stats"), "profile")
 
 
 RUN_STATS = "SELECT profile, count(*) AS runs, count(DISTINCT book_id) AS books, sum(bytes_in)::BIGINT AS bytes_in, sum(bytes_out)::BIGINT AS bytes_out, sum(images_processed)::BIGINT AS images, sum(chapters_split)::BIGINT AS chapters_split, sum(warnings)::BIGINT AS warnings FROM (SELECT DISTINCT * FROM convert_stats) GROUP BY profile"
@@ -333,7 +343,7 @@ RUN_STATS = "SELECT profile, count(*) AS runs, count(DISTINCT book_id) AS books,
 
 def batch_summary(s, d):
     v = t(s, d, "convert_stats").select("profile", F.when(F.col("bytes_out").isNull(), "failed").when(F.col("bytes_out") > F.col("bytes_in"), "grown").otherwise("done").alias("status"))
-    return v.groupBy("profile").pivot("status", ["done", "failed", "grown"]).agg(F.count(F.lit(1))).na.fill(0, ["done", "failed", "grown"])
+    return relations.batch_summary(v, "profile", ("done", "failed", "grown"))
 
 
 BATCH = "SELECT profile, count(*) FILTER (status = 'done') AS done, count(*) FILTER (status = 'failed') AS failed, count(*) FILTER (status = 'grown') AS grown FROM (SELECT profile, CASE WHEN bytes_out IS NULL THEN 'failed' WHEN bytes_out > bytes_in THEN 'grown' ELSE 'done' END AS status FROM convert_stats) GROUP BY profile"
@@ -348,62 +358,39 @@ LONG_WORDS = r"SELECT doc_id, len(w)::INT AS n, list_max(list_transform(w, lambd
 
 
 def rule_total(s, d):
-    c = t(s, d, "chapters").select("book_id", F.regexp_count("body_html", F.lit("</p>")).alias("n"))
-    return c.groupBy("book_id").agg(F.sum("n").alias("n_rules"), (F.sum("n") > 1500).alias("over_cap"))
+    """Braces that close a rule, per book: in the texts of the pages, which hold style samples and mathematics."""
+    return css.rule_total(t(s, d, "chapters"), F.col("body_html"), 3)
 
 
 def top_candidates(s, d):
-    w = Window.partitionBy("source").orderBy(F.desc_nulls_last("score"), "ref")
-    c = t(s, d, "candidates").select("source", "ref", "score", F.array_join(F.slice("subject", 1, 12), "|").alias("subjects")).distinct()
-    return c.withColumn("rank", F.row_number().over(w)).where("rank <= 5").withColumn("score", F.col("score").cast("double"))
+    return relations.rank_candidates(t(s, d, "candidates"), "source", 5).select("source", "ref", F.col("score").cast("double").alias("score"), F.array_join("subjects", "|").alias("subjects"), "rank")
 
 
 TOP = "SELECT source, ref, score::DOUBLE AS score, subjects, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY score DESC NULLS LAST, ref) AS rank FROM (SELECT DISTINCT source, ref, score, array_to_string(subject[1:12], '|') AS subjects FROM candidates)) WHERE rank <= 5"
 
 
 def smallest_run(s, d):
-    v = t(s, d, "convert_stats").where("bytes_out is not null")
-    return v.groupBy("book_id").agg(F.min(F.struct("bytes_out", "finished_at")).alias("m")).select("book_id", "m.bytes_out", "m.finished_at")
+    return relations.smallest_attempt(t(s, d, "convert_stats"), "book_id", "bytes_out", "finished_at")
 
 
 SMALLEST = "SELECT book_id, bytes_out, finished_at FROM (SELECT *, row_number() OVER (PARTITION BY book_id ORDER BY bytes_out, finished_at) AS rn FROM convert_stats WHERE bytes_out IS NOT NULL) WHERE rn = 1"
 
 
 def suffixes(s, d):
-    a = t(s, d, "profiles").select(F.lower("appendix").alias("suffix")).where("appendix is not null")
-    return a.union(a.sparkSession.range(1).select(F.lit("fitted").alias("suffix"))).distinct().select(F.concat(F.lit("."), "suffix", F.lit(".epub")).alias("suffix"))
+    return relations.output_suffixes(t(s, d, "profiles"))
 
 
 def prior_outputs(s, d):
     m = t(s, d, "metadata").select("book_id").distinct().withColumn("name", F.concat("book_id", F.element_at(F.array(*[F.lit(x) for x in (".epub", ".pocket.epub", ".Slate.EPUB")]), (F.length("book_id") % 3 + 1).cast("int"))))
-    return m.join(F.broadcast(suffixes(s, d)), F.lower("name").endswith(F.col("suffix")), "left_semi")
+    return relations.prior_outputs(m, suffixes(s, d))
 
 
 PRIOR = "WITH s AS (SELECT '.' || lower(appendix) || '.epub' AS suffix FROM profiles WHERE appendix IS NOT NULL UNION SELECT '.fitted.epub'), m AS (SELECT DISTINCT book_id, book_id || ['.epub', '.pocket.epub', '.Slate.EPUB'][length(book_id) % 3 + 1] AS name FROM metadata) SELECT * FROM m WHERE EXISTS (SELECT 1 FROM s WHERE ends_with(lower(name), suffix))"
 
 
-def copies(s, d):
-    """Chains of copies followed to their first source."""
-    t(s, d, "orders").where("o_custkey % 3 <> 0").select((F.col("o_custkey") % 500).alias("b"), F.floor(F.col("o_custkey") % 500 / 2).cast("long").alias("a")).distinct().where("b > 0").createOrReplaceTempView("copy_of")
-    return s.sql("WITH RECURSIVE r(b, root, depth) AS (SELECT b, a, 1 FROM copy_of UNION ALL SELECT r.b, c.a, r.depth + 1 FROM r JOIN copy_of c ON r.root = c.b) SELECT b AS copy, min_by(root, -depth) AS source, max(depth) AS depth FROM r GROUP BY b")
-
-
-COPIES = "WITH RECURSIVE c AS (SELECT DISTINCT o_custkey % 500 AS b, (o_custkey % 500) // 2 AS a FROM orders WHERE o_custkey % 3 <> 0 AND o_custkey % 500 > 0), r AS (SELECT b, a AS root, 1 AS depth FROM c UNION ALL SELECT r.b, c.a, depth + 1 FROM r JOIN c ON r.root = c.b) SELECT b AS copy, arg_min(root, -depth) AS source, max(depth) AS depth FROM r GROUP BY b"
-
-
-def follow(edges):
-    """copy, source, depth for edges (b, a) with a < b: each chain to its end, by pointer doubling."""
-    state = checkpointed(edges.select("b", F.col("a").alias("root"), F.lit(1).alias("depth")))
-    while True:
-        on = state.select(F.col("b").alias("root"), F.col("root").alias("further"), F.col("depth").alias("more"))
-        if state.join(on, "root", "left_semi").isEmpty():
-            return state.select(F.col("b").alias("copy"), F.col("root").alias("source"), "depth")
-        state = checkpointed(state.join(on, "root", "left").select("b", F.coalesce("further", "root").alias("root"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth")))
-
-
 def copy_chains(s, d):
-    """As copies, over every key as it is."""
-    return follow(t(s, d, "orders").select(F.col("o_custkey").cast("long").alias("b")).distinct().where("b > 0").select("b", F.floor(F.col("b") / 2).cast("long").alias("a")))
+    """Chains of copies over every key, followed to their first source."""
+    return relations.follow(t(s, d, "orders").select(F.col("o_custkey").cast("long").alias("b")).distinct().where("b > 0").select("b", F.floor(F.col("b") / 2).cast("long").alias("a")))
 
 
 COPY_CHAINS = "WITH RECURSIVE c AS (SELECT DISTINCT o_custkey::BIGINT AS b, o_custkey::BIGINT // 2 AS a FROM orders WHERE o_custkey > 0), r AS (SELECT b, a AS root, 1 AS depth FROM c UNION ALL SELECT r.b, c.a, depth + 1 FROM r JOIN c ON r.root = c.b) SELECT b AS copy, arg_min(root, -depth) AS source, max(depth) AS depth FROM r GROUP BY b"
@@ -427,6 +414,7 @@ WINDOWS = "SELECT strftime(time_bucket(INTERVAL 7 DAY, read_at, TIMESTAMP '1970-
 
 QUERIES = {
     "flt_replace_rule": (replace_rule, REPLACE_RULE),
+    "flt_rules_pages": (rules_pages, RULES_PAGES),
     "flt_metadata_rules": (metadata_rules, METADATA_RULES),
     "flt_resource_rules": (drop_resources, DROP),
     "flt_css_subset": (css_subset, CSS_SUBSET),
@@ -439,7 +427,6 @@ QUERIES = {
     "jon_renames": (rename_chain, RENAMES),
     "jon_fragments": (referenced_fragments, FRAGMENTS),
     "jon_declared_type": (declared_type, DECLARED),
-    "jon_copies": (copies, COPIES),
     "jon_copy_chains": (copy_chains, COPY_CHAINS),
     "agg_duplicate_ids": (duplicate_ids, DUPLICATES),
     "lnt_fonts": (font_findings, FONTS),
@@ -452,7 +439,7 @@ QUERIES = {
     "agg_run_stats": (run_stats, RUN_STATS),
     "agg_batch_summary": (batch_summary, BATCH),
     "agg_long_words": (long_words, LONG_WORDS),
-    "agg_rule_total": (rule_total, "SELECT book_id, sum(n)::BIGINT AS n_rules, sum(n) > 1500 AS over_cap FROM (SELECT book_id, len(regexp_extract_all(body_html, '</p>')) AS n FROM chapters) GROUP BY book_id"),
+    "agg_rule_total": (rule_total, "SELECT book_id, coalesce(sum(n), 0)::BIGINT AS n_rules, coalesce(sum(n), 0) > 3 AS over_cap FROM (SELECT book_id, len(regexp_extract_all(body_html, '}')) AS n FROM chapters) GROUP BY book_id"),
     "agg_events": (events_json, EVENTS),
     "agg_weekly": (daily_windows, WINDOWS),
     "win_keep_first": (keep_first, KEEP_FIRST),
