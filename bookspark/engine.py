@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from bookspark.functions import paths
 from bookspark.functions import text as tx
 from bookspark.operators import filters, lint, merge, pages, transforms
-from bookspark.session import ship
+from bookspark.session import checkpointed, ship
 from bookspark.sinks import package
 from bookspark.sources import archive, charset, css, html, profiles
 
@@ -72,7 +72,7 @@ def check(b: Books, caps: profiles.Caps | None = None) -> DataFrame:
     opf = archive.package_paths(first)
     spine_paths = readable_spine(b)
     content = b.entries.join(spine_paths.select("book_id", "path").distinct(), ["book_id", "path"], "left_semi")
-    nodes = html.nodes(content, F.concat("book_id", F.lit("\n"), "path"), F.decode("data", "utf-8"))
+    nodes = html.nodes(content, F.concat("book_id", F.lit("\n"), "path"), F.make_valid_utf8(F.col("data").cast("string")))
     ids = nodes.where(F.col("attrs")["id"].isNotNull()).select(F.substring_index("doc", "\n", 1).alias("book_id"), F.substring_index("doc", "\n", -1).alias("path"), F.col("attrs")["id"].alias("id"))
     typed = lint.declared_types(first, b.manifest)
     parts = [
@@ -140,8 +140,9 @@ def _finish(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def fit_tables(b: Books, o: profiles.Options, docs: DataFrame | None = None, mode: str = "fill", rules: list[filters.Rule] | None = None, cleared: Column | None = None, stamp: str | None = None, at: Column | None = None) -> Fitted:
     """Books fitted to options: metadata laid over and ruled, files dropped, pages rewritten, long ones divided, written anew.
 
-    Pages are one narrow map; what they must know of each other (aliases,
-    referenced ids, parts) is the one shuffle by book; then a second map.
+    Pages are one narrow map; what they must know of each other (aliases, parts)
+    travels by book; then a second map. What several later steps read is cut off
+    by a checkpoint, so no page is rewritten twice; these run at once.
     """
     every = [*o.rules, *(rules or ())]
     meta = b.metadata if docs is None and cleared is None else merge.apply_documents(b.metadata, docs if docs is not None else _no_documents(b), mode, cleared)
@@ -149,10 +150,12 @@ def fit_tables(b: Books, o: profiles.Options, docs: DataFrame | None = None, mod
         meta = filters.metadata_rules(meta, every)
     if o.on("text"):
         meta = meta.withColumns({c: tx.clean_string(F.col(c)) for c in ("title", "description", "publisher", "rights")})
+    meta = checkpointed(meta)
     toc = filters.toc_rules(b.toc, every) if every else b.toc
-    spine = readable_spine(b).select("book_id", "ord", "path")
-    shell = package.shells(b.entries, b.manifest, b.metadata)
-    resources = package.resources_of(b.entries, b.manifest)
+    # the small tables of the books: read once, used by many steps
+    spine = checkpointed(readable_spine(b).select("book_id", "ord", "path"))
+    shell = checkpointed(package.shells(b.entries, b.manifest, b.metadata))
+    resources = checkpointed(package.resources_of(b.entries, b.manifest).join(meta.select("book_id"), "book_id", "left_semi"))  # of books that could be read
     protected = spine.select("book_id", "path").unionByName(shell.select("book_id", F.explode(F.array_compact(F.array("opf_path", "nav_path", "ncx_path"))).alias("path"))).distinct()
     if any(r.applies_to("file") for r in every):
         gone = filters.drop_resources(resources.select("book_id", "path"), protected, every)
@@ -162,28 +165,29 @@ def fit_tables(b: Books, o: profiles.Options, docs: DataFrame | None = None, mod
     entries = b.entries.join(resources.select("book_id", "path"), ["book_id", "path"], "left_semi").select("book_id", "ord", "path", "data")
     inside = spine.select("book_id", "path").distinct()
     done = entries.join(inside, ["book_id", "path"], "left_semi").where("data is not null").select("book_id", "path", "data").mapInPandas(_fit_pages(o, every), PAGE)
+    done = checkpointed(done)  # every page is rewritten once, then read for its text, its aliases and the report
     texts = done.select("book_id", "path", "html")
     if o.on("anchors"):
         followed = pages.follow_aliases(texts, done.select("book_id", "path", F.inline("aliases")))
         texts = followed.select("book_id", "path", F.col("xhtml").alias("html"))
     new_spine = spine
     if o.on("split"):
-        parts = pages.retarget_parts(pages.split_pages(texts, o.chapter_kb * 1024))
+        parts = checkpointed(pages.retarget_parts(checkpointed(pages.split_pages(texts, o.chapter_kb * 1024))))
         new_spine = pages.retarget_spine(spine, parts)
         toc = pages.retarget_toc(toc, parts)
         texts = parts.select("book_id", F.col("part_path").alias("path"), F.col("xhtml").alias("html"), F.col("path").alias("source"))
     else:
         texts = texts.withColumn("source", F.col("path"))
-    finished = texts.select("book_id", "path", "html").mapInPandas(_finish, "book_id string, path string, text string, error string")
+    finished = checkpointed(texts.select("book_id", "path", "html").mapInPandas(_finish, "book_id string, path string, text string, error string"))
     failures = finished.where("error is not null").select("book_id", F.lit("wellformed").alias("code"), F.concat("path", F.lit(": "), "error").alias("message"))
     place = texts.select("book_id", "path", "source").join(entries.select("book_id", F.col("path").alias("source"), "ord"), ["book_id", "source"])
     page_rows = finished.join(place, ["book_id", "path"]).select("book_id", "ord", "path", F.encode("text", "utf-8").alias("data"))
     others = entries.join(inside, ["book_id", "path"], "left_anti")
     if o.on("css"):
         others = _fit_sheets(others, o)
-    all_files = others.unionByName(page_rows)
+    all_files = checkpointed(others.unionByName(page_rows))
     listed = all_files.select("book_id", "ord", "path").join(resources.select("book_id", "path", "media_type"), ["book_id", "path"], "left").withColumn("media_type", F.coalesce("media_type", paths.media_type(F.col("path"))))
-    made = package.documents(meta, listed, new_spine, toc, shell, stamp, o.profile if stamp else None, at)
+    made = checkpointed(package.documents(meta, listed, new_spine, toc, shell, stamp, o.profile if stamp else None, at))
     out = package.write_books(all_files, made).join(failures.select("book_id").distinct(), "book_id", "left_anti")
     return Fitted(out, meta, done.select("book_id", "path", F.inline("done")), failures)
 
@@ -197,7 +201,7 @@ def _fit_sheets(files: DataFrame, o: profiles.Options) -> DataFrame:
     is_css = paths.extension(F.col("path")) == "css"
     key = F.concat("book_id", F.lit("\n"), "path")
     sheets = files.where(is_css & F.col("data").isNotNull())
-    r = css.rules(sheets, key, F.decode("data", "utf-8"))
+    r = css.rules(sheets, key, F.make_valid_utf8(F.col("data").cast("string")))
     small = css.emit(css.sanitized(r) if o.on("sanitize_css") else css.subset(r))
     text = sheets.select("book_id", "ord", "path", key.alias("sheet")).join(small, "sheet", "left").withColumn("css", F.coalesce("css", F.lit("")))
     cut = css.split_by_bytes(F.col("css"), o.caps.css_bytes) if o.caps.css_bytes else F.array("css")

@@ -10,8 +10,9 @@ from bookspark.session import table as t
 _BOOKS = "(SELECT DISTINCT book_id, title, language, identifier, authors, identifiers, subjects, description, publisher, date, series FROM metadata)"
 
 
-def _books(s, d):
-    return t(s, d, "metadata").select("book_id", "title", "language", "identifier", "authors", "contributors", "identifiers", "subjects", "description", "publisher", "date", "rights", "series").distinct()
+def _books(s, d, *columns):
+    """Distinct rows of the columns that a query needs: nothing wider is compared or shuffled."""
+    return t(s, d, "metadata").select("book_id", *columns).distinct()
 
 
 def _docs(s, d):
@@ -26,7 +27,7 @@ _FIELDS = ("language", "publisher", "date")
 
 def _merge(mode):
     def run(s, d):
-        return merge.merge(_books(s, d).select("book_id", "title", *_FIELDS).distinct(), _docs(s, d), mode, _FIELDS).withColumn("changed", F.array_join("changed", ","))
+        return merge.merge(_books(s, d, "title", *_FIELDS), _docs(s, d), mode, _FIELDS).withColumn("changed", F.array_join("changed", ","))
 
     return run
 
@@ -39,7 +40,7 @@ def _merge_sql(mode):
 
 
 def missing(s, d):
-    return _books(s, d).select("book_id", F.array_join(merge.missing_fields(), ",").alias("missing")).distinct()
+    return t(s, d, "metadata").select("book_id", F.array_join(merge.missing_fields(), ",").alias("missing")).distinct()
 
 
 MISSING = f"""
@@ -49,7 +50,7 @@ SELECT DISTINCT book_id, concat_ws(',', CASE WHEN title IS NULL OR title = '' OR
 
 
 def missing_counts(s, d):
-    m = _books(s, d).select("book_id", F.explode(merge.missing_fields()).alias("field")).distinct()
+    m = t(s, d, "metadata").select("book_id", F.explode(merge.missing_fields()).alias("field")).distinct()
     return m.groupBy("field").agg(F.count("*").alias("n_books"))
 
 
@@ -58,7 +59,7 @@ MISSING_COUNTS = f"SELECT field, count(*) AS n_books FROM (SELECT DISTINCT book_
 
 def identifiers(s, d):
     """Secondary identifiers: those of a book without repeats or the unique one, then the ISBNs of its record; first seen stays first."""
-    own = _books(s, d).select("book_id", "identifier", F.transform(F.coalesce("identifiers", F.array().cast("array<struct<value:string,scheme:string>>")), lambda i: i["value"]).alias("ids")).distinct()
+    own = t(s, d, "metadata").select("book_id", "identifier", F.transform(F.coalesce("identifiers", F.array().cast("array<struct<value:string,scheme:string>>")), lambda i: i["value"]).alias("ids")).distinct()
     kept = F.filter(F.array_distinct(F.filter("ids", lambda v: v.isNotNull())), lambda v: ~v.eqNullSafe(F.col("identifier")))
     return own.select("book_id", "identifier", F.array_join(kept, "|").alias("others"), F.exists("ids", lambda v: v.rlike("(?i)isbn|^97[89]")).alias("has_isbn"))
 
@@ -70,12 +71,12 @@ FROM (SELECT *, list_filter(ids, lambda v, i: v IS NOT NULL AND list_position(id
 
 
 def clears(s, d):
-    b = _books(s, d).select("book_id", "publisher", "date", "description").distinct()
+    b = _books(s, d, "publisher", "date", F.length("description").alias("description"))
     cleared = F.when(F.length("book_id") % 2 == 0, F.array(F.lit("publisher"), F.lit("date"))).otherwise(F.array(F.lit("date")))
-    return merge.clear(b.withColumn("cleared", cleared), F.col("cleared"), ("publisher", "date")).drop("cleared").withColumn("description", F.length("description"))
+    return merge.clear(b.withColumn("cleared", cleared), F.col("cleared"), ("publisher", "date")).drop("cleared")
 
 
-CLEARS = "SELECT book_id, CASE WHEN length(book_id) % 2 <> 0 THEN publisher END AS publisher, NULL::VARCHAR AS date, length(description) AS description FROM (SELECT DISTINCT book_id, publisher, date, description FROM metadata)"
+CLEARS = "SELECT book_id, CASE WHEN length(book_id) % 2 <> 0 THEN publisher END AS publisher, NULL::VARCHAR AS date, description FROM (SELECT DISTINCT book_id, publisher, date, length(description) AS description FROM metadata)"
 
 
 def compose(s, d):
@@ -91,11 +92,11 @@ COMPOSE = "SELECT p.name, coalesce(r.k, p.max_chapter_kb) AS max_chapter_kb, p.o
 
 def flags(s, d):
     """Flag over document over book, and where a field is both cleared and set."""
-    b = _books(s, d).select("book_id", "publisher").distinct()
+    b = _books(s, d, "publisher")
     j = b.join(_docs(s, d).select("book_id", F.col("publisher").alias("doc")), "book_id", "left")
     flag = F.when(F.length("book_id") % 3 == 0, F.lit("Own House"))
     cleared, set_ = F.array(F.lit("publisher")), F.when(flag.isNotNull(), F.array(F.lit("publisher"), F.lit("title"))).otherwise(F.array(F.lit("title")))
-    return j.select("book_id", F.coalesce(flag, "doc", "publisher").alias("publisher"), (F.size(F.array_intersect(cleared, set_)) > 0).alias("conflict"))
+    return j.select("book_id", F.coalesce(flag, "doc", "publisher").alias("publisher"), (F.size(merge.conflicts(cleared, set_)) > 0).alias("conflict"))
 
 
 FLAGS = f"SELECT book_id, coalesce(CASE WHEN length(book_id) % 3 = 0 THEN 'Own House' END, d.publisher, b.publisher) AS publisher, length(book_id) % 3 = 0 AS conflict FROM (SELECT DISTINCT book_id, publisher FROM metadata) b LEFT JOIN {_DOCS} d USING (book_id)"
@@ -103,7 +104,26 @@ FLAGS = f"SELECT book_id, coalesce(CASE WHEN length(book_id) % 3 = 0 THEN 'Own H
 
 def seeds(s, d):
     """What to search a catalogue for: the title unless it is the default, and the first author."""
-    return _books(s, d).select("book_id", F.nullif("title", F.lit(merge.UNTITLED)).alias("title"), F.try_element_at("authors", F.lit(1)).getField("name").alias("author")).distinct()
+    title, author = merge.search_seed(None, None, F.col("title"), F.col("authors"))
+    return t(s, d, "metadata").select("book_id", title.alias("title"), author.alias("author")).distinct()
+
+
+def documents(s, d):
+    """Whole records with documents laid over that give a series, subjects, an identifier that is refused and an ISBN."""
+    m = t(s, d, "metadata").select("book_id", "title", "language", "identifier", "authors", "contributors", "identifiers", "subjects", "description", "publisher", "date", "rights", "series").where("book_id is not null")
+    docs = t(s, d, "metadata").where("book_id is not null").select("book_id").distinct().select("book_id", F.lit("Shelf").alias("series"), F.lit("1").alias("series_index"), F.array(F.lit("found")).alias("subjects"), F.concat(F.lit("urn:"), "book_id").alias("identifier"), F.concat(F.lit("isbn-"), "book_id").alias("isbn"))
+    r = merge.apply_documents(m, docs, "fill")
+    return r.select("book_id", F.col("series.name").alias("series"), F.size("subjects").alias("n_subjects"), F.size("identifiers").alias("n_identifiers"), F.col("warning").isNotNull().alias("refused"), F.array_contains("changed", "identifier").alias("took")).distinct()
+
+
+DOCUMENTS = """
+SELECT DISTINCT book_id, CASE WHEN series IS NULL THEN 'Shelf' ELSE series.name END AS series, CASE WHEN coalesce(len(subjects), 0) = 0 THEN 1 ELSE len(subjects) END::INT AS n_subjects,
+  (coalesce(len(identifiers), 0) + (identifier IS NOT NULL AND identifier <> 'urn:' || book_id AND NOT list_contains(list_transform(coalesce(identifiers, []), lambda i: i.value), 'urn:' || book_id))::INT + (NOT list_contains(list_transform(coalesce(identifiers, []), lambda i: i.value), 'isbn-' || book_id))::INT)::INT AS n_identifiers,
+  identifier IS NOT NULL AND identifier <> 'urn:' || book_id AS refused, identifier IS NULL AS took
+FROM metadata WHERE book_id IS NOT NULL
+"""
+
+
 
 
 SEEDS = f"SELECT DISTINCT book_id, nullif(title, 'Untitled') AS title, authors[1].name AS author FROM {_BOOKS}"
@@ -117,5 +137,6 @@ QUERIES = {
     "mrg_clears": (clears, CLEARS),
     "mrg_compose": (compose, COMPOSE),
     "mrg_flags": (flags, FLAGS),
+    "mrg_documents": (documents, DOCUMENTS),
     "mrg_seeds": (seeds, SEEDS),
 }

@@ -212,6 +212,11 @@ def wrapped(s, d):
     return _warn(s, d).select("warning_id", F.array_join(tx.wrap(F.col("message"), 24), "\n").alias("lines"))
 
 
+WRAP = r"""
+SELECT warning_id, CASE WHEN message IS NULL THEN NULL WHEN len(p) = 0 THEN '' ELSE list_reduce(p, lambda acc, w: CASE WHEN length(string_split(acc, chr(10))[-1]) + 1 + length(w) <= 24 THEN acc || ' ' || w ELSE acc || chr(10) || w END) END AS lines
+FROM (SELECT warning_id, message, flatten(list_transform(list_filter(regexp_split_to_array(message, '\s+'), lambda w: w <> ''), lambda w: regexp_extract_all(w, '(?s).{1,24}'))) AS p FROM warnings)
+"""
+
 QUERIES = {
     "scl_path_parts": (path_parts, PATH_PARTS),
     "scl_media_type": (media_types, MEDIA),
@@ -229,5 +234,5 @@ QUERIES = {
     "scl_file_names": (file_names, FILE_NAMES),
     "scl_stamp": (stamps, STAMPS),
     "img_lightness": (colours, COLOURS),
-    "scl_wrap": (wrapped, None),
+    "scl_wrap": (wrapped, WRAP),
 }

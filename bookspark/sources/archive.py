@@ -74,7 +74,7 @@ def collisions(e: DataFrame) -> DataFrame:
 
 def rights_managed(e: DataFrame) -> DataFrame:
     """(book_id, drm) of archives with an encryption file."""
-    x = e.where("path = 'META-INF/encryption.xml'").select("book_id", F.decode("data", "utf-8").alias("xml"))
+    x = e.where("path = 'META-INF/encryption.xml'").select("book_id", F.make_valid_utf8(F.col("data").cast("string")).alias("xml"))
     used = F.expr("""regexp_extract_all(xml, 'EncryptionMethod[^>]*Algorithm="([^"]*)"', 1)""")
     n = F.regexp_count("xml", F.lit(r"<(?:\w+:)?EncryptedData\b"))
     return x.select("book_id", (F.exists(used, lambda a: ~a.isin(*OBFUSCATION)) | (F.size(used) < n)).alias("drm"))

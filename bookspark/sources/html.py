@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -163,3 +164,75 @@ def linearize(cells: DataFrame) -> DataFrame:
     grouped = body.where("text <> ''").groupBy("doc", "table", "row").agg(F.array_sort(F.collect_list(F.struct("col", piece.alias("piece")))).alias("p"), F.max(F.col("head").isNotNull()).alias("headed"))
     pieces = F.transform("p", lambda x: x["piece"])
     return grouped.select("doc", "table", "row", F.when(F.col("headed"), F.array_join(pieces, "\n")).otherwise(F.array_join(pieces, " — ")).alias("line"))
+
+
+def _pages(schema: str, one):
+    """A batch function that gives rows of ``schema`` for each page, from its flat nodes; linear in the page."""
+    columns = [c.split()[0] for c in schema.split(", ")]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = [(doc, *r) for doc, text in zip(pdf["doc"], pdf["html"], strict=True) if text for r in one(parse(text))]
+            yield pd.DataFrame(rows, columns=columns)
+
+    return run
+
+
+def _by_page(df: DataFrame, doc: Column, html: Column, schema: str, one) -> DataFrame:
+    return df.select(doc.cast("string").alias("doc"), html.alias("html")).mapInPandas(_pages(schema, one), schema)
+
+
+def page_elements(df: DataFrame, doc: Column, html: Column) -> DataFrame:
+    """(doc, name, n) of the elements of every page, counted within the map, so only counts travel."""
+
+    def one(rows: list[list]):
+        return Counter(r[5] for r in rows if r[4] == "element").items()
+
+    return _by_page(df, doc, html, "doc string, name string, n int", one)
+
+
+def page_texts(df: DataFrame, doc: Column, html: Column, names: tuple[str, ...]) -> DataFrame:
+    """(doc, pre, name, text) as ``subtree_text`` gives, without a join."""
+
+    def one(rows: list[list]):
+        for pre, post, _, _, kind, name, _, _ in rows:
+            if kind == "element" and name in names:
+                yield pre, name, "".join(r[7] for r in rows[pre:post + 1] if r[4] == "text")
+
+    return _by_page(df, doc, html, "doc string, pre int, name string, text string", one)
+
+
+def page_cells(df: DataFrame, doc: Column, html: Column) -> DataFrame:
+    """(doc, table, row, col, header, text) as ``table_cells`` gives, without a join."""
+
+    def one(rows: list[list]):
+        def above(k: int, name: str) -> int:
+            k = rows[k][2]
+            while k >= 0 and rows[k][5] != name:
+                k = rows[k][2]
+            return k
+
+        place: dict[int, dict[int, int]] = {}
+        width: Counter = Counter()
+        for pre, post, _, _, kind, name, _, _ in rows:
+            if kind == "element" and name in ("td", "th") and (tr := above(pre, "tr")) >= 0 and (table := above(pre, "table")) >= 0:
+                lines = place.setdefault(table, {})
+                row = lines.setdefault(tr, len(lines) + 1)
+                width[tr] += 1
+                yield table, row, width[tr], name == "th", "".join(r[7] for r in rows[pre:post + 1] if r[4] == "text").strip(" ")
+
+    return _by_page(df, doc, html, "doc string, table int, row int, col int, header boolean, text string", one)
+
+
+def page_id_moves(df: DataFrame, doc: Column, html: Column) -> DataFrame:
+    """(doc, id, onto, alias) as ``relocate_ids`` gives, without a join."""
+
+    def one(rows: list[list]):
+        for _, _, parent, _, kind, name, attrs, _ in rows:
+            if kind == "element" and name in INLINE and "id" in attrs:
+                while parent >= 0 and rows[parent][5] not in BLOCKS:
+                    parent = rows[parent][2]
+                if parent >= 0:
+                    yield attrs["id"], parent, rows[parent][6].get("id")
+
+    return _by_page(df, doc, html, "doc string, id string, onto int, alias string", one)
