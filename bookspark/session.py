@@ -60,12 +60,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut lineage through a reliable checkpoint in the folder the cluster names.
 
-    The folder is ``spark.checkpoint.dir`` of the session; only where that is
-    unset, as in tests, a temporary one is made.
+    The folder is ``spark.checkpoint.dir`` of the session. Where that is unset a
+    local session, as in tests, gets a temporary one; a cluster is refused, as
+    no folder of one machine would do there.
     """
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         named = sc.getConf().get("spark.checkpoint.dir")
+        if not named and not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="bookspark-checkpoint-"))
     return df.checkpoint()
 
