@@ -229,12 +229,13 @@ def surname_frequency(split: DataFrame) -> DataFrame:
 
 
 def surname_pairs(own: DataFrame) -> DataFrame:
-    """(surname, other) both ways: each surname with itself and every one an edit away that may be a slip of it.
+    """(surname, other, strict) both ways: each surname with itself and every one an edit away that may be a slip of it.
 
     The symmetric-delete index holds each surname with every one of its letters
     left out; two that share an entry are compared. Two established surnames
-    of like frequency are two surnames; of one with less than five letters the
-    other must be eight times as frequent.
+    of like frequency are two surnames; where one has less than five letters
+    and the other is not eight times as frequent, the pair is ``strict``: it
+    holds only for the same given names.
     """
     long = own.where("length(surname) >= 3")
     deletes = F.array_distinct(F.concat(F.array("surname"), F.expr("transform(sequence(1, length(surname)), i -> concat(left(surname, i - 1), substring(surname, i + 1)))")))
@@ -242,13 +243,15 @@ def surname_pairs(own: DataFrame) -> DataFrame:
     a, b = index.alias("a"), index.alias("b")
     pairs = a.join(b, F.col("a.entry") == F.col("b.entry")).where(F.col("a.surname") != F.col("b.surname")).select(F.col("a.surname").alias("surname"), F.col("b.surname").alias("other"), F.least("a.frequency", "b.frequency").alias("lo"), F.greatest("a.frequency", "b.frequency").alias("hi")).distinct()
     sure = F.least(F.length("surname"), F.length("other")) >= 5
-    near = pairs.where(((F.col("lo") < COMMON) | (F.col("lo") * 2 <= F.col("hi"))) & (sure | (F.col("lo") * 8 <= F.col("hi")))).mapInPandas(_slips, "surname string, other string")
-    return near.unionByName(own.select("surname", F.col("surname").alias("other")))
+    strict = ~(sure | (F.col("lo") * 8 <= F.col("hi")))
+    slips = pairs.where(F.when(strict, F.col("lo") < COMMON).otherwise((F.col("lo") < COMMON) | (F.col("lo") * 2 <= F.col("hi"))))
+    near = slips.withColumn("strict", strict).mapInPandas(_slips, "surname string, other string, strict boolean")
+    return near.unionByName(own.select("surname", F.col("surname").alias("other"), F.lit(False).alias("strict")))
 
 
 def _slips(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        yield pdf.loc[[slip(a, b) for a, b in pdf[["surname", "other"]].itertuples(index=False)], ["surname", "other"]]
+        yield pdf.loc[[slip(a, b) for a, b in pdf[["surname", "other"]].itertuples(index=False)], ["surname", "other", "strict"]]
 
 
 def given_keys(given: tuple[str, ...]) -> list[tuple[str, bool]]:
@@ -313,11 +316,11 @@ def rivals(sigs: DataFrame, related: DataFrame) -> DataFrame:
     keys = checkpointed(sigs.select("sig", "given").mapInPandas(_keys, "sig string, key string, one boolean"))
     side = sigs.select("sig", "org", "surname").join(keys, "sig")
     a = side.select("org", "surname", "key", F.col("sig").alias("u"), F.col("one").alias("u_one"))
-    b = side.join(related, "surname").select("org", F.col("other").alias("surname"), "key", F.col("sig").alias("v"), F.col("one").alias("v_one"))
-    near = a.join(b, ["org", "surname", "key"]).where("(u_one or v_one) and u <> v").select("u", "v").distinct()
+    b = side.join(related, "surname").select("org", F.col("other").alias("surname"), "key", F.col("sig").alias("v"), F.col("one").alias("v_one"), "strict")
+    near = a.join(b, ["org", "surname", "key"]).where("(u_one or v_one) and u <> v").groupBy("u", "v").agg(F.min("strict").alias("strict"))
     ua = sigs.select(F.col("sig").alias("u"), "org", "given", "given_n", F.col("rank").alias("u_rank"))
     vb = sigs.select(F.col("sig").alias("v"), F.col("given").alias("f_given"), F.col("given_n").alias("f_given_n"), F.col("rank").alias("v_rank"))
-    both = near.join(ua, "u").join(vb, "v").where("v_rank < u_rank").drop("u_rank", "v_rank")
+    both = near.join(ua, "u").join(vb, "v").where("v_rank < u_rank and (not strict or given = f_given and exists(given, g -> length(g) >= 4))").drop("u_rank", "v_rank", "strict")
     return scored(both).select("u", "v")
 
 
