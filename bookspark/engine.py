@@ -14,7 +14,7 @@ from bookspark.functions import text as tx
 from bookspark.operators import filters, lint, merge, pages, transforms
 from bookspark.session import checkpointed, ship
 from bookspark.sinks import package
-from bookspark.sources import archive, charset, css, html, profiles
+from bookspark.sources import archive, charset, css, html, images, profiles, raster
 
 #: Codes of what can go wrong with a book, fixed values.
 ERROR_CODES = ("archive", "drm", "zip64", "container", "package", "document", "wellformed", "output", "io")
@@ -170,6 +170,15 @@ def fit_tables(b: Books, o: profiles.Options, docs: DataFrame | None = None, mod
     if o.on("anchors"):
         followed = pages.follow_aliases(texts, done.select("book_id", "path", F.inline("aliases")))
         texts = followed.select("book_id", "path", F.col("xhtml").alias("html"))
+    pictures = None
+    if o.on("images") and o.caps.max_width:
+        # a picture is worked on once; pages follow its new names, files its new bytes
+        raster_ = entries.join(inside, ["book_id", "path"], "left_anti").join(resources.select("book_id", "path", "media_type"), ["book_id", "path"]).where(images.is_candidate(F.col("data"), F.col("media_type")))
+        shown = raster_.join(shell.select("book_id", F.col("cover").alias("path"), F.lit(True).alias("cover")), ["book_id", "path"], "left")
+        pictures = checkpointed(raster.process_images(shown.select("book_id", "path", "data", F.coalesce("cover", F.lit(False)).alias("cover")), o.caps, o.quality, o.on("split")).where("data is not null"))
+        renames = pictures.groupBy("book_id", "path").agg(F.transform(F.array_sort(F.collect_list(F.struct("tile", "new_path"))), lambda x: x["new_path"]).alias("parts"))
+        texts = pages.rename_images(texts, renames).select("book_id", "path", F.col("xhtml").alias("html"))
+        shell = shell.join(renames.select("book_id", F.col("path").alias("cover"), F.col("parts")[0].alias("_new")), ["book_id", "cover"], "left").withColumn("cover", F.coalesce("_new", "cover")).drop("_new")
     new_spine = spine
     if o.on("split"):
         parts = checkpointed(pages.retarget_parts(checkpointed(pages.split_pages(texts, o.chapter_kb * 1024))))
@@ -185,6 +194,10 @@ def fit_tables(b: Books, o: profiles.Options, docs: DataFrame | None = None, mod
     others = entries.join(inside, ["book_id", "path"], "left_anti")
     if o.on("css"):
         others = _fit_sheets(others, o)
+    if pictures is not None:
+        done_with = pictures.select("book_id", "path").distinct()
+        fresh = pictures.join(others.select("book_id", "path", "ord"), ["book_id", "path"]).select("book_id", "ord", F.col("new_path").alias("path"), "data")
+        others = others.join(done_with, ["book_id", "path"], "left_anti").unionByName(fresh)
     all_files = checkpointed(others.unionByName(page_rows))
     listed = all_files.select("book_id", "ord", "path").join(resources.select("book_id", "path", "media_type"), ["book_id", "path"], "left").withColumn("media_type", F.coalesce("media_type", paths.media_type(F.col("path"))))
     made = checkpointed(package.documents(meta, listed, new_spine, toc, shell, stamp, o.profile if stamp else None, at))

@@ -448,3 +448,63 @@ def retarget_toc(toc: DataFrame, parts: DataFrame) -> DataFrame:
     j = toc.join(owner, ["book_id", "path", "fragment"], "left").join(first, ["book_id", "path"], "left")
     return j.withColumn("path", F.coalesce("_own", "_one", "path")).select(*toc.columns)
 
+
+
+def image_refs(pages: DataFrame) -> DataFrame:
+    """(book_id, path, href, target) of every picture that pages (book_id, path, html) show, by any of the three ways."""
+
+    def one(r):
+        for e in tree(r.html).find("img", "image") if r.html else ():
+            h = e.attrs.get("src") or e.attrs.get("href") or e.attrs.get("xlink:href")
+            if h and not _SCHEME.match(h):
+                yield r.book_id, r.path, h, resolve(r.path, h)[0]
+
+    schema = "book_id string, path string, href string, target string"
+    return pages.select("book_id", "path", "html").mapInPandas(_map(schema, one), schema).distinct()
+
+
+def place_tiles(img: Node, sources: list[str]) -> None:
+    """A picture gives way to its tiles: paragraphs of their own if it was alone in one, else one behind the other; id and class stay with the first."""
+    tiles = []
+    for k, s in enumerate(sources):
+        attrs = {a: v for a, v in img.attrs.items() if a not in ("src", "width", "height", "srcset") and (k == 0 or a not in ("id", "class"))}
+        tiles.append(Node("img", {**attrs, "src": s}))
+    p = img.parent
+    alone = p.name == "p" and all(c is img or c.name == "#text" and not c.text.strip() for c in p.children)
+    if not alone:
+        img.replace(tiles)
+        return
+    new = []
+    for k, t in enumerate(tiles):
+        q = Node("p", p.attrs if k == 0 else {a: v for a, v in p.attrs.items() if a != "id"})
+        q.add(t)
+        new.append(q)
+    p.replace(new)
+
+
+def rename_images(pages: DataFrame, renames: DataFrame) -> DataFrame:
+    """(book_id, path, xhtml, n_images): pages whose pictures follow ``renames`` (book_id, path, parts), the new paths of each, several for tiles. Sizes that no longer hold are dropped."""
+    refs = image_refs(pages).join(renames.select("book_id", F.col("path").alias("target"), "parts"), ["book_id", "target"])
+    per_page = refs.groupBy("book_id", "path").agg(F.map_from_entries(F.collect_list(F.struct("href", "parts"))).alias("m"))
+
+    def one(r):
+        m = dict(r.m) if r.m is not None else {}
+        if not m or not r.html:
+            return [(r.book_id, r.path, r.html, 0)]
+        root, n = tree(r.html), 0
+        for e in root.find("img", "image"):
+            key = next((a for a in ("src", "href", "xlink:href") if e.attrs.get(a) in m), None)
+            if key is None:
+                continue
+            new = [relative(r.path, x) for x in m[e.attrs[key]]]
+            n += 1
+            if e.name == "img" and len(new) > 1:
+                place_tiles(e, new)
+                continue
+            e.attrs[key] = new[0]
+            for a in ("width", "height", "srcset") if e.name == "img" else ():
+                e.attrs.pop(a, None)
+        return [(r.book_id, r.path, serialize(root), n)]
+
+    schema = "book_id string, path string, xhtml string, n_images int"
+    return pages.select("book_id", "path", "html").join(per_page, ["book_id", "path"], "left").mapInPandas(_map(schema, one), schema)

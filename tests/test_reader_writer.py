@@ -3,6 +3,7 @@
 import io
 import zipfile
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -10,7 +11,7 @@ from bookspark import engine
 from bookspark.operators.filters import Rule
 from bookspark.session import checkpointed
 from bookspark.sinks import package
-from bookspark.sources import archive, charset, documents, profiles
+from bookspark.sources import archive, assets, charset, documents, profiles, raster, vector
 
 CONTAINER = '<container xmlns="urn:oasis:names:tc:opendocument:xmlns:container"><rootfiles><rootfile full-path="x.pdf" media-type="application/pdf"/><rootfile full-path="OPS/b.opf" media-type="application/oebps-package+xml"/></rootfiles></container>'
 OPF = """<package xmlns="http://www.idpf.org/2007/opf" unique-identifier="u"><metadata xmlns:dc="http://purl.org/dc/elements/1.1/" xmlns:opf="http://www.idpf.org/2007/opf">
@@ -19,7 +20,7 @@ OPF = """<package xmlns="http://www.idpf.org/2007/opf" unique-identifier="u"><me
 <manifest><item id="a" href="a.xhtml" media-type="application/xhtml+xml"/><item id="b" href="b.xhtml" media-type="application/xhtml+xml"/><item id="p1" href="p1.png" media-type="image/png" properties="cover-image"/><item id="p2" href="p2.png" media-type="image/png"/><item id="s" href="s.css" media-type="text/css"/></manifest>
 <spine><itemref idref="a"/><itemref idref="b"/></spine></package>"""
 PAGE_A = '<?xml version="1.0" encoding="iso-8859-1"?><html><head><title>A</title><style>p{color:red}</style></head><body><h1 id="top">Caf\xe9</h1>' + "<p>Long words here.</p>" * 40 + '<h2><span id="mid">Mid</span></h2><p style="color:red;margin:0">harbour ad</p>' + "<p>More words.</p>" * 40 + '<p><a href="#top">up</a> <a href="http://ads.example/1"><i>ad</i></a></p></body></html>'
-PAGE_B = '<html><body><table><tr><th>H</th><th>V</th></tr><tr><td>a</td><td>1</td></tr></table><p><a href="a.xhtml#mid">to mid</a><a href="a.xhtml">start</a></p></body></html>'
+PAGE_B = '<html><body><table><tr><th>H</th><th>V</th></tr><tr><td>a</td><td>1</td></tr></table><p><img src="p1.png" width="9"/></p><p><a href="a.xhtml#mid">to mid</a><a href="a.xhtml">start</a></p></body></html>'
 
 
 def pack(files, drm=False):
@@ -33,7 +34,7 @@ def pack(files, drm=False):
     return bytearray(b.getvalue())
 
 
-FILES = {"META-INF/container.xml": CONTAINER, "OPS/b.opf": OPF, "OPS/a.xhtml": PAGE_A.encode("latin-1"), "OPS/b.xhtml": PAGE_B, "OPS/p1.png": b"\x89PNG\r\n\x1a\n1", "OPS/p2.png": b"\x89PNG\r\n\x1a\n2", "OPS/s.css": "@media print{p{color:red}}p{margin:0!important;color:red}"}
+FILES = {"META-INF/container.xml": CONTAINER, "OPS/b.opf": OPF, "OPS/a.xhtml": PAGE_A.encode("latin-1"), "OPS/b.xhtml": PAGE_B, "OPS/p1.png": raster.encode_png(np.repeat(np.arange(200, dtype=np.uint8)[None, :], 60, 0)), "OPS/p2.png": b"\x89PNG\r\n\x1a\n2", "OPS/s.css": "@media print{p{color:red}}p{margin:0!important;color:red}"}
 
 
 @pytest.fixture(scope="module")
@@ -81,6 +82,7 @@ def test_fitted_book_comes_back(books, spark):
     assert f'href="{owner.rsplit("/", 1)[-1]}#mid"' in text["OPS/b.xhtml"] and 'href="a-1.xhtml"' in text["OPS/b.xhtml"]
     assert "haven" in whole and "ads.example" not in whole and "H: a" in whole and "<table" not in whole and "style=\"margin:0\"" in whole and "(contd.)" in whole
     assert text["OPS/s.css"] == "p{margin:0}"
+    assert '<img src="p1.jpg"/>' in text["OPS/b.xhtml"] and "OPS/p1.jpg" in text and "OPS/p1.png" not in text
     codes = {(r.code, r.severity) for r in engine.check(b).collect()}
     assert not {c for c, s in codes if s == "error"}, codes
     assert package.stamps(b.facts).first().fitted == "pocket 1.0"
@@ -110,3 +112,47 @@ def test_batch(spark):
     assert engine.read_report(report, "summary struct<done:bigint>").first().summary.done == 1
     with pytest.raises(Exception, match="is not known"):
         engine.read_report(spark.createDataFrame([('{"schema":2}',)], "report string"), "x int").collect()
+
+
+MD = """---
+title: Own
+authors: [Ann]
+---
+
+# One
+
+Some *text* with a note[^1] and ![p](img/p.png) and ![q](lost.png).
+
+## Sub
+
+- a
+- b
+
+# Two
+
+| h | i |
+|---|---|
+| 1 | 2 |
+
+[^1]: The note.
+"""
+
+
+def test_markdown_book(spark, tmp_path):
+    (tmp_path / "img").mkdir()
+    (tmp_path / "img" / "p.png").write_bytes(b"1")
+    meta, pages, toc = assets.books(spark.createDataFrame([("m", MD), ("e", ""), ("n", None)], "d string, t string"), F.col("d"), F.col("t"))
+    m = meta.where("book_id = 'm'").first()
+    assert (m.title, m.authors[0].name) == ("Own", "Ann")
+    assert [(r.title, r.path, r.fragment, r.level) for r in toc.orderBy("ord").collect()] == [("One", "text/chapter-001.xhtml", None, 1), ("Sub", "text/chapter-001.xhtml", "sub", 2), ("Two", "text/chapter-002.xhtml", None, 1)]
+    new, files, lost = assets.resolve_images(pages, assets.local_assets(spark, str(tmp_path)))
+    text = {r.chunk: r.html for r in new.collect()}
+    assert 'src="images/img-p.png"' in text[1] and 'src="lost.png"' in text[1] and 'id="note-1"' in text[1] and "<table>" in text[2]
+    assert [r.path for r in files.collect()] == ["images/img-p.png"] and lost.count() == 1
+
+
+def test_vector():
+    assert vector.wrapped('<svg xmlns:x="y"><title/><g><image x:href=" a.png "/></g></svg>') == "a.png" and vector.wrapped('<svg><image href="data:image/png;base64,MQ=="/></svg>') == b"1"
+    assert vector.wrapped("<svg><rect/><image href='a'/></svg>") is None and vector.wrapped("<p") is None
+    drawn = vector.draw_table([["a", "long words in a cell"], ["b"]], ["H", "I"], "Cap", 200)
+    assert drawn == vector.draw_table([["a", "long words in a cell"], ["b"]], ["H", "I"], "Cap", 200) and drawn.count("<rect") == 7 and sum(vector.column_widths([3, 5, 9], 100)) == 100
