@@ -337,6 +337,7 @@ def persons(sigs: DataFrame, edges: DataFrame) -> DataFrame:
     known = ["sig", "surname", "frequency", "n"]
     edges = checkpointed(edges)
     state = checkpointed(sigs.join(edges.select(F.col("u").alias("sig")).distinct(), "sig", "left_anti").select(*known, *founder))
+    # each round adds what it decided; the rounds before are read as they were written
     u_side = sigs.select(F.col("sig").alias("u"), "org", F.col("surname").alias("u_surname"), "given", "given_n")
     order = Window.partitionBy("u").orderBy(F.desc("good"), F.desc("exact"), F.desc("pn"), F.desc("person"))
     while not edges.isEmpty():
@@ -351,7 +352,7 @@ def persons(sigs: DataFrame, edges: DataFrame) -> DataFrame:
         new = sigs.join(ready.withColumnRenamed("u", "sig"), "sig").join(joined.withColumnRenamed("f_given", "g").withColumnRenamed("f_given_n", "c").withColumnRenamed("person", "p"), "sig", "left")
         new = checkpointed(new.select(*known, F.coalesce("p", "sig").alias("person"), F.coalesce("g", "given").alias("f_given"), F.coalesce("c", "given_n").alias("f_given_n")))
         edges = checkpointed(edges.join(new.select(F.col("sig").alias("u")), "u", "left_anti"))
-        state = checkpointed(state.unionByName(new).coalesce(12))
+        state = state.unionByName(new)
     return state.select("sig", "person")
 
 
@@ -367,7 +368,7 @@ def link(creators: DataFrame, candidates: DataFrame) -> DataFrame:
 
 def _linked(creators: DataFrame, candidates: DataFrame) -> DataFrame:
     """As ``link``, with the count as typed."""
-    parsed = spellings(creators, candidates).mapInPandas(_parse, PARSED)
+    parsed = checkpointed(spellings(creators, candidates).mapInPandas(_parse, PARSED))
     role = roles(parsed)
     split = checkpointed(split_surname(parsed, role))
     own = surname_frequency(split)
@@ -385,6 +386,6 @@ def _linked(creators: DataFrame, candidates: DataFrame) -> DataFrame:
 
 def found(creators: DataFrame, candidates: DataFrame) -> DataFrame:
     """All pairs of spellings of one person in the name columns, which is the form this result is defined in."""
-    linked = _linked(creators, candidates).where("typed > 0")
+    linked = checkpointed(_linked(creators, candidates).where("typed > 0").select("name", "person"))
     a, b = linked.select("person", F.col("name").alias("name_a")), linked.select("person", F.col("name").alias("name_b"))
     return a.join(b, "person").where("name_a < name_b").select("name_a", "name_b").distinct()
