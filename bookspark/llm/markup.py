@@ -445,3 +445,9 @@ def convert(metadata: DataFrame, works: DataFrame, chapters: DataFrame, only_mar
 
 def found(metadata: DataFrame, works: DataFrame, chapters: DataFrame) -> DataFrame:
     return convert(metadata, works, chapters, only_marked=True).where("size(residue) > 0").select("tbl", "row_key").distinct()
+
+
+def coverage(metadata: DataFrame, works: DataFrame, chapters: DataFrame) -> DataFrame:
+    """(tbl, n_values): how many values come out as clean text; none is lost."""
+    c = convert(metadata, works, chapters)
+    return c.groupBy("tbl").agg(F.count("text").alias("n_values"))

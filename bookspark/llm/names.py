@@ -389,3 +389,10 @@ def found(creators: DataFrame, candidates: DataFrame) -> DataFrame:
     linked = checkpointed(_linked(creators, candidates).where("typed > 0").select("name", "person"))
     a, b = linked.select("person", F.col("name").alias("name_a")), linked.select("person", F.col("name").alias("name_b"))
     return a.join(b, "person").where("name_a < name_b").select("name_a", "name_b").distinct()
+
+
+def coverage(creators: DataFrame, candidates: DataFrame) -> DataFrame:
+    """(origin, n_spellings, n_linked): spellings by where they stand, and those that come out with exactly one person; none is lost."""
+    linked = _linked(creators, candidates)
+    one = linked.groupBy("name").agg(F.count_distinct("person").alias("persons"), F.max("typed").alias("typed"))
+    return one.groupBy(F.when(F.col("typed") > 0, "typed").otherwise("filed").alias("origin")).agg(F.count("*").alias("n_spellings"), F.count_if(F.col("persons") == 1).alias("n_linked"))

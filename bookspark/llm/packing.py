@@ -212,3 +212,11 @@ def fill_report(documents: DataFrame, containers: DataFrame) -> DataFrame:
     out = placed.groupBy("container", "capacity").agg(F.count_distinct("bin").alias("n_bins"), F.sum("n_tokens").alias("n_tokens"))
     out = out.withColumn("least_bins", F.ceil(F.col("n_tokens") / F.col("capacity"))).withColumn("unused", F.round(1 - F.col("n_tokens") / (F.col("n_bins") * F.col("capacity")), 6))
     return out.join(most, "container")
+
+
+def coverage(documents: DataFrame, containers: DataFrame) -> DataFrame:
+    """(container, n_docs, overfull, gaps): texts that are placed, bins above their capacity, and texts whose pieces don't follow each other from their start."""
+    placed = fill(documents, containers)
+    bins = placed.groupBy("container", "bin").agg(F.sum("n_tokens").alias("n"), F.first("capacity").alias("capacity")).groupBy("container").agg(F.count_if(F.col("n") > F.col("capacity")).alias("overfull"))
+    docs = placed.groupBy("container", "doc_id").agg(F.sum("n_tokens").alias("n"), F.max("end_token").alias("last"), F.min("start_token").alias("first"))
+    return docs.groupBy("container").agg(F.count("*").alias("n_docs"), F.count_if((F.col("n") != F.col("last")) | (F.col("first") != 0)).alias("gaps")).join(bins, "container")

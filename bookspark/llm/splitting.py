@@ -16,7 +16,7 @@ from collections.abc import Iterator
 from itertools import accumulate
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 PIECES = "chapter_id bigint, piece int, n_pieces int, start_byte bigint, end_byte bigint, n_bytes int, inside_block boolean, overlap string, body_html string"
@@ -258,3 +258,12 @@ def split_oversized(chapters: DataFrame, profiles: DataFrame, unique: bool = Tru
 def found(chapters: DataFrame, profiles: DataFrame) -> DataFrame:
     """Chapters that the operator had to cut, each once."""
     return split_oversized(chapters, profiles, unique=False).where("n_pieces > 1").select("chapter_id").distinct()
+
+
+def tiles(chapters: DataFrame, profiles: DataFrame) -> DataFrame:
+    """(chapter_id, n_bytes, first, too_long, gaps): what the pieces of each oversized chapter add up to; they begin at 0, none is above its limit, none begins elsewhere than where the one before ends."""
+    p = split_oversized(chapters, profiles)
+    limit = oversized(chapters, profiles).select("chapter_id", "limit_bytes").distinct()
+    before = F.lag("end_byte").over(Window.partitionBy("chapter_id").orderBy("piece"))
+    j = p.select("chapter_id", "piece", "start_byte", "end_byte", "n_bytes").withColumn("gap", (F.coalesce(before, F.lit(0)) != F.col("start_byte")).cast("int")).join(limit, "chapter_id")
+    return j.groupBy("chapter_id").agg(F.sum(F.col("end_byte") - F.col("start_byte")).alias("n_bytes"), F.min("start_byte").alias("first"), F.count_if(F.col("n_bytes") > F.col("limit_bytes")).alias("too_long"), F.sum("gap").alias("gaps"))

@@ -166,3 +166,8 @@ def source_report(documents: DataFrame) -> DataFrame:
     """Per source: documents, cut documents and their share."""
     by_doc = judge(documents).groupBy("source", "doc_id").agg(F.max("cut").alias("cut"))
     return by_doc.groupBy("source").agg(F.count("*").alias("n_docs"), F.count_if("cut").alias("n_cut"), F.round(F.avg(F.col("cut").cast("double")), 4).alias("share"))
+
+
+def coverage(documents: DataFrame) -> DataFrame:
+    """(source, n_docs): texts that are judged, each once; none that is not blank is left out."""
+    return judge(documents).groupBy("source").agg(F.count_distinct("doc_id").alias("n_docs"))

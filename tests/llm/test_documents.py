@@ -227,3 +227,13 @@ def test_truncation_of_long_tokens(spark):
     rows = truncation.judge(d).where("cut").collect()
     assert {61, 62} <= {r.doc_id for r in rows} and all(r.evidence.startswith("cut by ") for r in rows)
     assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("finals_")]
+
+
+def test_queries_with_twins(spark, data):
+    """The queries of this package that SQL can judge, on the smallest tables; the others run and give rows."""
+    from bookspark.llm import queries
+    from tests.oracle import connect, same
+
+    con = connect(data)
+    for name, sql in queries.oracle_sql().items():
+        same(queries.queries()[name](spark, data), con, sql)
