@@ -155,12 +155,28 @@ def descriptions(s, d):
 
 
 DESCRIPTIONS = r"""
-SELECT ref, regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(string_split(string_split(string_split(description, chr(10) || '----------')[1], chr(13) || chr(10) || chr(13) || chr(10) || '([source]')[1], chr(10) || '([source]')[1], chr(13) || chr(10), chr(10)),
-  '\[[*_]*([^\]]*?)[*_]*\](?:\([^)]*\)|\[[^\]]*\])?', '\1', 'g'), '[*_]', '', 'g'), '[ \t\r\f]+(\n|$)', '\1', 'g'), '^\s+|\s+$', '', 'g') AS clean
+SELECT ref, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(string_split(string_split(string_split(description, chr(10) || '----------')[1], chr(13) || chr(10) || chr(13) || chr(10) || '([source]')[1], chr(10) || '([source]')[1], chr(13) || chr(10), chr(10)),
+  '(?s)\[[*_]*([^\]]*?)[*_]*\](?:\([^)]*(?:\)|$)|\[[^\]]*(?:\]|$))?', '\1', 'g'), '(?s)^(.*?)(\[[^\]]*)?$', '\1'), '[*_]', '', 'g') || regexp_extract(regexp_replace(replace(string_split(string_split(string_split(description, chr(10) || '----------')[1], chr(13) || chr(10) || chr(13) || chr(10) || '([source]')[1], chr(10) || '([source]')[1], chr(13) || chr(10), chr(10)), '(?s)\[[*_]*([^\]]*?)[*_]*\](?:\([^)]*(?:\)|$)|\[[^\]]*(?:\]|$))?', '\1', 'g'), '(?s)^(.*?)(\[[^\]]*)?$', 2), '[ \t\r\f]+(\n|$)', '\1', 'g'), '^\s+|\s+$', '', 'g') AS clean
 FROM (SELECT DISTINCT ref, description FROM works) WHERE description IS NOT NULL
 """
 
 
+def display(s, d):
+    """Sizes, initials, years and hashes as a list of books shows them."""
+    c = t(s, d, "convert_stats").select("book_id", "bytes_in").distinct()
+    m = t(s, d, "metadata").select("book_id", "title", "date").distinct()
+    j = c.join(m, "book_id")
+    return j.select("book_id", cat.size_text(F.col("bytes_in")).alias("size"), cat.initials(F.coalesce("title", F.lit(""))).alias("initials"), cat.year(F.coalesce("date", F.lit(""))).alias("year"), cat.input_kind(F.concat("book_id", F.when(F.length("book_id") % 2 == 0, ".EPUB").otherwise(".txt"))).alias("kind"), cat.fnv32(F.col("book_id")).alias("hash"))
+
+
+DISPLAY = r"""
+SELECT c.book_id, CASE WHEN bytes_in IS NULL OR bytes_in <= 0 THEN '0 B' WHEN bytes_in < 1024 THEN bytes_in || ' B' WHEN bytes_in / 1024 < 10 THEN printf('%.1f KB', bytes_in / 1024) WHEN bytes_in / 1024 < 1000 THEN floor(bytes_in / 1024 + 0.5)::BIGINT || ' KB' ELSE printf('%.1f MB', bytes_in / 1048576) END AS size,
+  array_to_string(list_transform(list_filter(regexp_split_to_array(coalesce(title, ''), '[\s_·—–-]+'), lambda w: w <> '')[1:2], lambda w: upper(w[1:1])), '') AS initials, coalesce(regexp_extract(date, '[0-9]{4}', 0), '') AS year, CASE WHEN length(c.book_id) % 2 = 0 THEN 'epub' END AS kind,
+  list_reduce(list_prepend(2166136261::HUGEINT, list_transform(string_split(c.book_id, ''), lambda x: ord(x)::HUGEINT)), lambda h, b: (xor(h, b) * 16777619) % 4294967296)::BIGINT AS hash
+FROM (SELECT DISTINCT book_id, bytes_in FROM convert_stats) c JOIN (SELECT DISTINCT book_id, title, date FROM metadata) m USING (book_id)
+"""
+
+
 def file_names(s, d):
     m = t(s, d, "metadata").select("book_id", "title", "authors", "series").distinct()
     values = {"title": F.col("title"), "author": F.try_element_at("authors", F.lit(1)).getField("name"), "series": F.col("series.name"), "series_index": F.col("series.index"), "original": F.col("book_id")}
@@ -231,6 +247,7 @@ QUERIES = {
     "scl_base64": (base64_decode, "SELECT book_id, read_at, title FROM metadata WHERE title IS NOT NULL"),
     "scl_match_score": (match_scores, MATCH_SCORES),
     "scl_description": (descriptions, DESCRIPTIONS),
+    "scl_display": (display, DISPLAY),
     "scl_file_names": (file_names, FILE_NAMES),
     "scl_stamp": (stamps, STAMPS),
     "img_lightness": (colours, COLOURS),
