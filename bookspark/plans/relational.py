@@ -122,8 +122,9 @@ UNION ALL SELECT book_id, 'error', 'manifest-sync', 'the manifest lacks ' || pat
 
 def spine(s, d):
     c = t(s, d, "chapters").select("book_id", "ord", F.coalesce("profile", F.lit("none")).alias("idref"), (F.col("chapter_id") % 4 != 0).alias("linear")).distinct()
-    manifest = t(s, d, "metadata").select("book_id").distinct().crossJoin(F.broadcast(t(s, d, "profiles").select(F.col("name").alias("id"), F.concat(F.lit("p/"), "name").alias("path"))))
-    return lint.readable_spine(c, manifest)
+    named = t(s, d, "chapters").where("profile is not null").select("book_id", F.col("profile").alias("id")).distinct()
+    items = named.join(t(s, d, "profiles").select(F.col("name").alias("id"), F.concat(F.lit("p/"), "name").alias("path")), "id")
+    return lint.readable_spine(c, items.join(t(s, d, "metadata").select("book_id"), "book_id", "left_semi"))
 
 
 SPINE = """
