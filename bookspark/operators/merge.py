@@ -59,7 +59,8 @@ def push_identifiers(identifier: Column, have: Column, more: Column) -> Column:
     """The secondary identifiers with those of ``more`` whose value is neither the unique one nor among them; first seen stays first."""
     fresh = lambda acc, x: ~F.exists(acc, lambda i: i["value"] == F.trim(x["value"])) & ~F.trim(x["value"]).eqNullSafe(identifier) & (F.trim(x["value"]) != "")
     none = F.array().cast("array<struct<value:string,scheme:string>>")
-    return F.aggregate(F.coalesce(more, none), F.coalesce(have, none), lambda acc, x: F.when(fresh(acc, x), F.concat(acc, F.array(x))).otherwise(acc))
+    out = F.aggregate(F.coalesce(more, none), F.coalesce(have, none), lambda acc, x: F.when(fresh(acc, x), F.concat(acc, F.array(x))).otherwise(acc))
+    return F.when(have.isNull() & (F.size(F.coalesce(more, none)) == 0), F.lit(None)).otherwise(out)
 
 
 def apply_documents(books: DataFrame, docs: DataFrame, mode: str = "fill", cleared: Column | None = None) -> DataFrame:

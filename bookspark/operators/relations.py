@@ -60,7 +60,7 @@ def output_suffixes(appendixes: DataFrame) -> DataFrame:
 
 def prior_outputs(files: DataFrame, suffixes: DataFrame) -> DataFrame:
     """Files whose name ends in a suffix of outputs. Names are cut at their dots, so this is an equi join."""
-    parts = F.expr("transform(sequence(1, size(split(lower(name), '[.]'))), k -> concat('.', array_join(slice(split(lower(name), '[.]'), k, 99), '.')))")
+    parts = F.expr("transform(filter(sequence(1, size(split(lower(name), '[.]'))), k -> k > 1), k -> concat('.', array_join(slice(split(lower(name), '[.]'), k, 99), '.')))")
     return files.withColumn("suffix", F.explode(parts)).join(suffixes.select("suffix").distinct(), "suffix", "left_semi").drop("suffix").distinct()
 
 
