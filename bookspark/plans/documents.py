@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from bookspark import engine
 from bookspark.functions import text as tx
 from bookspark.operators import packing, pages, palette, transforms
+from bookspark.plans.relational import HISTOGRAM, histogram
 from bookspark.session import table as t
 from bookspark.sinks import package
 from bookspark.sources import archive, html, markdown, profiles
@@ -98,8 +99,6 @@ WRITTEN = "SELECT book_id, count(*) AS n_entries, sum(strlen(body_html))::BIGINT
 
 def isotonic(s, d):
     """Tones of a label in order, pooled to a rising series with a gap of one; a label has at most 256 tones."""
-    from bookspark.plans.relational import histogram
-
     def solve(batches):
         import pandas as pd
 
@@ -111,6 +110,16 @@ def isotonic(s, d):
     return g.mapInPandas(solve, "label int, n double, pooled double, tone int")
 
 
+# the pooled value of a place is the greatest, over all starts before it, of the least mean over all ends behind it
+ISOTONIC = f"""
+WITH x AS (SELECT label, tone, n::DOUBLE AS n, row_number() OVER w - 1 AS i, n - (row_number() OVER w - 1)::DOUBLE AS y FROM ({HISTOGRAM}) WINDOW w AS (PARTITION BY label ORDER BY tone)),
+c AS (SELECT *, sum(y) OVER (PARTITION BY label ORDER BY i) AS upto FROM x),
+m AS (SELECT a.label, a.i AS lo, b.i AS hi, (b.upto - a.upto + a.y) / (b.i - a.i + 1) AS mean FROM c a JOIN c b ON a.label = b.label AND b.i >= a.i),
+low AS (SELECT m.label, c.i, m.lo, min(mean) AS v FROM c JOIN m ON c.label = m.label AND m.lo <= c.i AND m.hi >= c.i GROUP BY ALL)
+SELECT c.label, c.n, round(max(v) + c.i, 4) AS pooled, c.tone FROM c JOIN low ON c.label = low.label AND c.i = low.i GROUP BY c.label, c.n, c.tone, c.i
+"""
+
+
 def panels(s, d):
     """How many built-in profiles have each panel, and their mean chapter limit."""
     return profiles.builtin(s).groupBy("panel").agg(F.count("*").alias("n"), F.max("chapter_kb").alias("most_kb"))
@@ -122,6 +131,14 @@ def fitted(s, d):
     return transforms.step_counts(done)
 
 
+FITTED = r"""
+WITH p AS (SELECT DISTINCT chapter_id, body_html AS h FROM chapters), k AS (
+  SELECT 'boxes' AS kind, len(regexp_extract_all(h, '<(aside|figure|dl)[ >]')) AS n FROM p UNION ALL SELECT 'lists', len(regexp_extract_all(h, '<ol[ >]')) FROM p
+  UNION ALL SELECT 'code', len(regexp_extract_all(h, '<pre[ >]')) FROM p UNION ALL SELECT 'links', len(regexp_extract_all(h, '<a [^>]*href="\s*[jJ]ava')) FROM p)
+SELECT kind, sum(n)::BIGINT AS n, count(*) AS n_pages FROM k WHERE n > 0 GROUP BY kind
+"""
+
+
 def palette_of_parts(s, d):
     """Colours that parts stand for, per size, on a panel of sixteen grays."""
     p = t(s, d, "part").select(F.col("p_size").cast("string").alias("scope"), *[(F.col("p_partkey") * k % 16 * 17).cast("int").alias(c) for k, c in ((3, "r"), (7, "g"), (11, "b"))], F.when(F.col("p_partkey") % 3 == 0, "text").when(F.col("p_partkey") % 3 == 1, "ground").otherwise("border").alias("role"))
@@ -130,7 +147,7 @@ def palette_of_parts(s, d):
 
 
 QUERIES = {
-    "xfm_fitted": (fitted, None),
+    "xfm_fitted": (fitted, FITTED),
     "src_elements": (element_counts, ELEMENTS),
     "src_headings": (headings, HEADINGS),
     "xfm_tables": (tables, None),
@@ -140,6 +157,6 @@ QUERIES = {
     "snk_books": (whole_books, WHOLE),
     "img_palettes": (palette_of_parts, None),
     "snk_archives": (written, WRITTEN),
-    "win_isotonic": (isotonic, None),
+    "win_isotonic": (isotonic, ISOTONIC),
     "mrg_panels": (panels, None),
 }
