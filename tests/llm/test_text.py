@@ -65,6 +65,28 @@ def test_encoding_operator(spark):
     assert enc.found(m.limit(0), w.limit(0)).count() == 0
 
 
+TITLES = "book_id string, title string, description string, language string"
+
+
+def test_models_count_every_sentence(spark):
+    """A pair of neighbours in 6 of 4000 titles is usual, one in a single title is not."""
+    letters = "àáâãäåæçèéêë"
+    rows = [(str(k), f"{' '.join(letters)} {k}", None, "xx") for k in range(4000)]
+    for i, (a, b) in enumerate(zip(letters, letters[1:], strict=False)):
+        rows[10 * i:10 * i + 6] = [(f"{i}-{k}", f"{' '.join(letters)} {a}{b} {k}", None, "xx") for k in range(6)]
+    rows[-1] = ("last", f"{' '.join(letters)} ëà", None, "xx")
+    known = enc.Model(enc.fit(spark.createDataFrame(rows, TITLES))).neighbours
+    assert {a + b for a, b in zip(letters, letters[1:], strict=False)} <= known and "ëà" not in known
+
+
+def test_no_language_is_left_out(spark):
+    """The language with the least text of eighteen has a model as well."""
+    rows = [(f"{lang}{k}", f"The long café of the old harbour and the quiet river number {k}", None, lang) for lang in "aa bb cc dd ee ff gg hh ii jj kk ll mm nn oo pp qq".split() for k in range(40)]
+    rows += [(f"ru{k}", f"Там был старый берег {k}", None, "ru") for k in range(40)] + [("bad", "Там был старый берег".encode("cp1251").decode("cp1252"), None, "ru")]
+    got = enc.restore(spark.createDataFrame(rows, TITLES), spark.createDataFrame([], "warning_id bigint, message string")).collect()
+    assert [(r.row_key, r.restored) for r in got] == [("bad", "Там был старый берег")]
+
+
 LOOK = [
     ("Thе Old Map", ["script"]), ("Νicholas", ["script"]), ("a\u200bb", ["invisible"]), ("a\u00a0b", ["space"]), ("Ｔｈｅ", ["form"]), ("ﬁne", ["form"]), ("cafe\u0301", ["decomposed"]), ("x&nbsp;y", ["space"]), ("x&#8203;y", ["invisible"]), ("x&#x430; quiet shelf", ["script"]),
     ("In 1922 а miller came", ["script"]), ("Он открыл зaвод", ["script"]),
