@@ -126,6 +126,14 @@ def test_lookalike_operator(spark):
     assert look.canonical_values(m, c, h).where("field = 'title'").count() == 4
 
 
+def test_wrong_encoding_of_any_language_is_no_lookalike(spark):
+    """A title of the language with the least text of eighteen is known as wrongly decoded, so its odd space is no case here."""
+    rows = [(f"{lang}{k}", f"The long café of the old harbour and the quiet river number {k}", "", lang) for lang in "aa bb cc dd ee ff gg hh ii jj kk ll mm nn oo pp qq".split() for k in range(40)]
+    rows += [(f"ru{k}", f"берег и старый дом {k}", "", "ru") for k in range(40)] + [("bad", "берег\u00a0и старый дом".encode("cp1251").decode("cp1252"), "", "ru"), ("odd", "The long\u00a0café", "", "aa")]
+    none = [spark.createDataFrame([], x) for x in ("creator_id bigint, name string", "chapter_id bigint, body_html string", "warning_id bigint, message string")]
+    assert {r.row_key for r in look.found(spark.createDataFrame(rows, TITLES), *none).collect()} == {"odd"}
+
+
 MARKED = ["<p>x</p>", "a &amp; b", "**bold** x", "x *em* y", "_under score_ y", "# Head\n\ntext", "[a](http://b)", "![i](j.png)", "`code`", "~~gone~~", "a[^1]\n\n[^1]: note", "([source][1])\n\n[1]: http://x", "> quoted", "- a\n- b", "* a\n\n* b", "[[link|text]]", "{{Infobox|a=b}}", "'''wiki'''", "== Head ==", "[https://x.y label]", "x<ref>y</ref>", "\\textbf{x}", "See~\\cite{k}", "(\\S24)", "$x_{1}^2 = 3$", "\\[ \\frac{a}{b} \\]", "\\begin{itemize}\n\\item a\n\\end{itemize}", "&lt;p&gt;x&lt;/p&gt;", "```\ncode\n```"]
 BARE = ["aged 9 < 12 and their R&D-minded parents", "from $3 to $7 a head", "ranked #1 in the poll", "The count, 5 * 3 * 2, was", "wrote “recieved” [sic] here", "the set {salt, rope, tar}", "a - b - c", "* * *", "snake_case_name", "either/or", "it’s 100% ~5", ""]
 
