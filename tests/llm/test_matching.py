@@ -86,6 +86,15 @@ def test_match(spark):
     assert mm.found(m.limit(0), c).count() == 0 and mm.found(m, c.limit(0)).count() == 0
 
 
+def test_wrong_encoding_of_any_language_matches(spark):
+    """A wrongly decoded title in the language with the least text of eighteen finds its record."""
+    who = [("Ann Fosterling", None, None)]
+    m = [(f"{lang}{k}", f"The long café of the old harbour and the quiet river {lang}{k}", lang, None, None, None, None, None, None, 1) for lang in "aa bb cc dd ee ff gg hh ii jj kk ll mm nn oo pp qq".split() for k in range(40)]
+    m += [(f"ru{k}", f"берег и старый дом {k}", "ru", None, None, None, None, None, None, 1) for k in range(40)] + [("bad", "берег и старый дом".encode("cp1251").decode("cp1252"), "ru", who, None, "1955", None, None, None, 1)]
+    c = [("r", "берег и старый дом", ["Ann Fosterling"], None, 1955, None, None, 1)]
+    assert ("bad", "r") in {tuple(r) for r in mm.found(spark.createDataFrame(m, META), spark.createDataFrame(c, CAND)).collect()}
+
+
 def test_close_titles_against_brute_force(spark):
     rng = random.Random(6)
     words = ["harbour", "granary", "lantern", "thimbles", "corridor", "sparrow", "candle", "orchards", "meadow", "whistle"]
