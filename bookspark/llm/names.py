@@ -292,8 +292,8 @@ def _agree(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def scored(pairs: DataFrame) -> DataFrame:
-    """The pairs of org, given, given_n with f_given, f_given_n that agree, and how well."""
-    return pairs.mapInPandas(_agree, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pairs.schema) + ", score double").where("score > 0")
+    """The pairs of org, given, given_n with f_given, f_given_n, and how well they agree."""
+    return pairs.mapInPandas(_agree, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pairs.schema) + ", score double")
 
 
 def signatures(split: DataFrame, counted: DataFrame, own: DataFrame) -> DataFrame:
@@ -321,7 +321,7 @@ def rivals(sigs: DataFrame, related: DataFrame) -> DataFrame:
     ua = sigs.select(F.col("sig").alias("u"), "org", "given", "given_n", F.col("rank").alias("u_rank"))
     vb = sigs.select(F.col("sig").alias("v"), F.col("given").alias("f_given"), F.col("given_n").alias("f_given_n"), F.col("rank").alias("v_rank"))
     both = near.join(ua, "u").join(vb, "v").where("v_rank < u_rank and (not strict or given = f_given and exists(given, g -> length(g) >= 4))").drop("u_rank", "v_rank", "strict")
-    return scored(both).select("u", "v")
+    return scored(both).where("score > 0").select("u", "v")
 
 
 def persons(sigs: DataFrame, edges: DataFrame) -> DataFrame:
@@ -334,24 +334,27 @@ def persons(sigs: DataFrame, edges: DataFrame) -> DataFrame:
     of those decide whose rivals have.
     """
     founder = [F.col("sig").alias("person"), F.col("given").alias("f_given"), F.col("given_n").alias("f_given_n")]
-    known = ["sig", "surname", "frequency", "n"]
-    edges = checkpointed(edges)
-    state = checkpointed(sigs.join(edges.select(F.col("u").alias("sig")).distinct(), "sig", "left_anti").select(*known, *founder))
+    known = ["surname", "frequency", "n"]
+    # an edge carries what its signature needs to decide, so that a round is one join; plans and broadcasts of many small ones fill the driver
+    own = [*[F.col(c).alias(f"u_{c}") for c in known], "org", "given", "given_n"]
+    edges = checkpointed(edges.join(sigs.select(F.col("sig").alias("u"), *own), "u"))
+    held = edges.columns
+    facts = [c for c in held if c not in ("u", "v")]
+    state = checkpointed(sigs.join(edges.select(F.col("u").alias("sig")).distinct(), "sig", "left_anti").select("sig", *known, *founder))
+    order = Window.partitionBy("u").orderBy(F.desc("fit"), F.desc("good"), F.desc("exact"), F.desc("pn"), F.desc("person"))
     # each round adds what it decided; the rounds before are read as they were written
-    u_side = sigs.select(F.col("sig").alias("u"), "org", F.col("surname").alias("u_surname"), "given", "given_n")
-    order = Window.partitionBy("u").orderBy(F.desc("good"), F.desc("exact"), F.desc("pn"), F.desc("person"))
     while not edges.isEmpty():
-        look = edges.join(state.withColumnRenamed("sig", "v"), "v", "left")
-        ready = look.groupBy("u").agg(F.max(F.col("person").isNull()).alias("waits")).where("not waits").select("u")
-        seen = look.join(ready, "u").groupBy("u", "person").agg(F.sum("n").alias("pn"), F.max(F.struct("frequency", "surname")).alias("top"), F.first("f_given").alias("f_given"), F.first("f_given_n").alias("f_given_n"))
-        fits = scored(seen.join(u_side, "u")).select("u", "person", "pn", "f_given", "f_given_n", (F.col("score") >= 0.9).alias("good"), (F.col("top.surname") == F.col("u_surname")).alias("exact"))
+        waits = F.max(F.col("person").isNull()).over(Window.partitionBy("u"))
+        look = checkpointed(edges.join(state.withColumnRenamed("sig", "v"), "v", "left").withColumn("waits", waits))
+        seen = look.where("not waits").groupBy("u", "person").agg(F.sum("n").alias("pn"), F.max(F.struct("frequency", "surname")).alias("top"), *[F.first(c).alias(c) for c in ("f_given", "f_given_n", *facts)])
+        fits = scored(seen).withColumns({"fit": F.col("score") > 0, "good": F.col("score") >= 0.9, "exact": F.col("top.surname") == F.col("u_surname")})
         two = fits.withColumn("at", F.row_number().over(order)).where("at <= 2")
-        pick = two.groupBy(F.col("u").alias("sig")).agg(*[F.max(F.when(F.col("at") == k, F.struct("good", "exact", "pn", "person", "f_given", "f_given_n"))).alias(f"b{k}") for k in (1, 2)])
-        joins = F.col("b2").isNull() | (F.col("b1.good") != F.col("b2.good")) | (F.col("b1.exact") != F.col("b2.exact")) | (F.col("b1.pn") >= 2 * F.col("b2.pn"))
-        joined = pick.where(joins).select("sig", "b1.person", "b1.f_given", "b1.f_given_n")
-        new = sigs.join(ready.withColumnRenamed("u", "sig"), "sig").join(joined.withColumnRenamed("f_given", "g").withColumnRenamed("f_given_n", "c").withColumnRenamed("person", "p"), "sig", "left")
-        new = checkpointed(new.select(*known, F.coalesce("p", "sig").alias("person"), F.coalesce("g", "given").alias("f_given"), F.coalesce("c", "given_n").alias("f_given_n")))
-        edges = checkpointed(edges.join(new.select(F.col("sig").alias("u")), "u", "left_anti"))
+        best = [F.max(F.when((F.col("at") == k) & F.col("fit"), F.struct("good", "exact", "pn", "person", "f_given", "f_given_n"))).alias(f"b{k}") for k in (1, 2)]
+        pick = two.groupBy("u").agg(*best, *[F.first(c).alias(c) for c in facts])
+        joins = F.col("b1").isNotNull() & (F.col("b2").isNull() | (F.col("b1.good") != F.col("b2.good")) | (F.col("b1.exact") != F.col("b2.exact")) | (F.col("b1.pn") >= 2 * F.col("b2.pn")))
+        place = [F.when(joins, F.col(f"b1.{to}")).otherwise(F.col(own)).alias(to) for to, own in (("person", "u"), ("f_given", "given"), ("f_given_n", "given_n"))]
+        new = checkpointed(pick.select(F.col("u").alias("sig"), *[F.col(f"u_{c}").alias(c) for c in known], *place))
+        edges = look.where("waits").select(held)
         state = state.unionByName(new)
     return state.select("sig", "person")
 

@@ -112,6 +112,25 @@ def test_close_titles_against_brute_force(spark):
     assert got == want and {(tuple(a), tuple(b)) for a, b in zip(titles, typed, strict=True)} <= want
 
 
+def test_a_round_is_one_join(spark, monkeypatch):
+    """Deciding takes no more joins than checkpoints, as the broadcasts of many small joins fill the driver."""
+    c, d = frames(spark)
+    count, join, checkpointed, persons = {"joins": 0, "checkpoints": 0}, type(c).join, names.checkpointed, names.persons
+
+    def counted(kind, f):
+        return lambda *args, **kw: (count.update({kind: count[kind] + 1}), f(*args, **kw))[1]
+
+    def watched(sigs, edges):
+        with monkeypatch.context() as m:
+            m.setattr(type(c), "join", counted("joins", join))
+            m.setattr(names, "checkpointed", counted("checkpoints", checkpointed))
+            return persons(sigs, edges)
+
+    monkeypatch.setattr(names, "persons", watched)
+    of = {r.name: r.person for r in names.link(c, d).collect()}
+    assert all(len({of[n] for n in g}) == 1 for g in GROUPS) and 0 < count["joins"] <= count["checkpoints"]
+
+
 def test_large_surname_links_like_a_small_one(spark):
     """Nicknames and slips with another initial link in a surname of more than 20,000 spellings."""
     rng = random.Random(1)
