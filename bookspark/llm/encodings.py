@@ -241,8 +241,8 @@ def dictionaries_from(samples: dict[str, list[str]]) -> list[bytes]:
     return out
 
 
-def fit(metadata: DataFrame, warnings: DataFrame | None = None) -> list[bytes]:
-    """Dictionaries of the languages and of the messages, from every title, sentence of a description and message.
+def fit(metadata: DataFrame, warnings: DataFrame | None = None, records: DataFrame | None = None) -> list[bytes]:
+    """Dictionaries of the languages, messages and catalogue records, from every title, sentence of a description and message.
 
     Two passes count in tasks and shuffle only sums: the first how many
     sentences of a language have each character and pair of neighbours, the
@@ -252,7 +252,7 @@ def fit(metadata: DataFrame, warnings: DataFrame | None = None) -> list[bytes]:
     and the shares and not on the rows.
     A sentence with markup or a lost character is left out.
     """
-    texts = sentences(metadata, warnings)
+    texts = sentences(metadata, warnings, records)
     foreign = texts.where(F.col("text").rlike(FOREIGN))
     size = texts.groupBy("lang").agg(F.count("*").alias("n")).select("lang", F.lit("n").alias("kind"), F.lit("").alias("item"), "n")
     of = _sums(foreign.mapInPandas(_tally(None), TALLY).unionByName(size).groupBy("lang", "kind", "item").agg(F.sum("n").alias("n")))
@@ -282,13 +282,19 @@ FOREIGN = r"[^\x00-\x7F]"
 TALLY = "lang string, kind string, item string, n bigint"
 
 
-def sentences(metadata: DataFrame, warnings: DataFrame | None) -> DataFrame:
-    """(lang, text) of every title, every sentence of a description, and every message that is not plain ASCII."""
+#: A letter that is not Latin.
+OTHER_SCRIPT = r"[\p{L}&&[^\p{IsLatin}]]"
+
+
+def sentences(metadata: DataFrame, warnings: DataFrame | None, records: DataFrame | None = None) -> DataFrame:
+    """(lang, text) of every title, every sentence of a description, and every message that is not plain ASCII. Records name no language: their titles count by script, lest one be rare beside another."""
     short = F.coalesce(F.substring(F.lower(F.trim("language")), 1, 2), F.lit(""))
     parts = F.concat(F.array("title"), F.coalesce(F.split("description", r"(?<=[.!?])\s+"), F.array().cast("array<string>")))
     texts = metadata.select(short.alias("lang"), F.explode(parts).alias("text"))
     if warnings is not None:
         texts = texts.unionByName(warnings.where(F.col("message").rlike(FOREIGN)).select(F.lit("messages").alias("lang"), F.col("message").alias("text")))
+    if records is not None:
+        texts = texts.unionByName(records.select(F.when(F.col("title").rlike(OTHER_SCRIPT), "records, other scripts").otherwise("records").alias("lang"), F.col("title").alias("text")))
     return texts.where("text is not null and length(text) > 3").where(~F.col("text").rlike(r"[<>\[\]{}\x{FFFD}\x80-\x9F]"))
 
 

@@ -12,7 +12,9 @@ title and authors, agreement of volume, ISBN, year and publisher, each in a few
 levels. How often a level occurs among pairs of one work and among others is
 estimated from the counts of all patterns by expectation maximisation, so the
 weight of a level is its log likelihood ratio, their sum is the log odds, and
-its logistic is the confidence.
+its logistic is the confidence. Pairs that only a changed digit of an ISBN
+brought together are counted and estimated by themselves, as all of them have
+that level.
 """
 
 from __future__ import annotations
@@ -54,7 +56,7 @@ _ISBN = re.compile(r"[0-9][0-9Xx\s‐-―-]{8,16}[0-9Xx]")
 _YEAR = re.compile(r"(?<!\d)(1[5-9]\d\d|20\d\d)(?!\d)")
 
 SIDE = "id string, tokens array<string>, volume int, people array<string>, isbns array<string>, doubtful array<string>, year int, publisher string"
-SCORED = "book_id string, ref string, title_score double, author_score double, isbn_score double, year_score double, publisher_score double, levels array<int>, sampled boolean"
+SCORED = "book_id string, ref string, title_score double, author_score double, isbn_score double, year_score double, publisher_score double, levels array<int>, direct boolean"
 PAIR = ("title_score", "author_score", "isbn_score", "year_score", "publisher_score", "score", "score_without_isbn", "confidence")
 
 
@@ -416,7 +418,7 @@ def _score(pdf: pd.DataFrame) -> pd.DataFrame:
         a = author_score(parsed(list(r.l_people)), parsed(list(r.r_people)))
         i = isbn_score(list(r.l_isbns), list(r.r_isbns))
         levels, y, p = levels_of(t, (none(r.l_volume), none(r.r_volume)), a, i, (none(r.l_year), none(r.r_year)), (r.l_publisher, r.r_publisher))
-        rows.append((r.book_id, r.ref, t, a, i, y, p, levels, r.sampled))
+        rows.append((r.book_id, r.ref, t, a, i, y, p, levels, r.direct))
     return pd.DataFrame(rows, columns=[c.split()[0] for c in SCORED.split(", ")])
 
 
@@ -426,7 +428,7 @@ def _scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def pairs(left: DataFrame, right: DataFrame, common: frozenset[str]) -> DataFrame:
-    """(book_id, ref, sampled) whose titles or ISBNs are close; sampled but where only a changed digit brought them together.
+    """(book_id, ref, direct) whose titles or ISBNs are close; direct but where only a changed digit brought them together.
 
     Titles that very many rows share are cut into parts: each book is in one,
     the records in all, so that every row is compared, however many there are.
@@ -440,7 +442,7 @@ def pairs(left: DataFrame, right: DataFrame, common: frozenset[str]) -> DataFram
     books_of = sized.join(left.select(F.col("tokens").alias("l_tokens"), F.col("id").alias("book_id")), "l_tokens").withColumn("part", F.pmod(F.xxhash64("book_id"), F.col("parts")).cast("int"))
     near = books_of.join(split.drop("parts"), ["l_tokens", "r_tokens", "part"]).select("book_id", "ref")
     every = near.withColumn("equal", F.lit(True)).unionByName(close_isbns(left, right))
-    return every.groupBy("book_id", "ref").agg(F.max("equal").alias("sampled"))
+    return every.groupBy("book_id", "ref").agg(F.max("equal").alias("direct"))
 
 
 def match(metadata: DataFrame, candidates: DataFrame) -> DataFrame:
@@ -450,19 +452,23 @@ def match(metadata: DataFrame, candidates: DataFrame) -> DataFrame:
     field neither speaks for nor against; repeated rows count once; where a
     key has several versions, the best pair of versions counts.
     """
-    dictionaries = encodings.fit(metadata)
+    dictionaries = encodings.fit(metadata, records=candidates)
     left, right = checkpointed(books(metadata, dictionaries)), checkpointed(records(candidates, dictionaries))
     common = common_words(left, right)
     p = pairs(left, right, common)
     cols = ("tokens", "volume", "people", "isbns", "year", "publisher")
     sides = [left.select(F.col("id").alias("book_id"), *[F.col(c).alias(f"l_{c}") for c in cols]), right.select(F.col("id").alias("ref"), *[F.col(c).alias(f"r_{c}") for c in cols])]
     scored = checkpointed(p.join(sides[0], "book_id").join(sides[1], "ref").mapInPandas(_scored, SCORED))
-    # at most as many patterns as the levels allow, whatever the number of pairs; pairs that only a changed digit brought say nothing of how often it changes
-    patterns = [(list(r[0]), r[1]) for r in scored.where("sampled").groupBy("levels").agg(F.count("*").alias("n")).toLocalIterator()]
-    odds, weights = estimate(patterns)
-    parts = [F.element_at(F.array(*[F.lit(w) for w in ws]), F.col("levels")[k] + 1) for k, ws in enumerate(weights)]
-    total = sum(parts[1:], F.lit(odds) + parts[0])
-    isbn = parts[list(FIELDS).index("isbn")]
+    # at most as many patterns as the levels allow, whatever the number of pairs
+    patterns: dict[bool, list] = {True: [], False: []}
+    for direct, levels, n in scored.groupBy("direct", "levels").agg(F.count("*").alias("n")).toLocalIterator():
+        patterns[direct].append((list(levels), n))
+
+    def scores(odds: float, weights: list[list[float]]) -> list:
+        parts = [F.element_at(F.array(*[F.lit(w) for w in ws]), F.col("levels")[k] + 1) for k, ws in enumerate(weights)]
+        return [sum(parts[1:], F.lit(odds) + parts[0]), parts[list(FIELDS).index("isbn")]]
+
+    total, isbn = (F.when(F.col("direct"), a).otherwise(b) for a, b in zip(*(scores(*estimate(patterns[direct])) for direct in (True, False)), strict=True))
     out = scored.withColumn("score", total).withColumn("score_without_isbn", total - isbn).withColumn("confidence", 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), total)))))
     return out.groupBy("book_id", "ref").agg(F.max_by(F.struct(*PAIR), "score").alias("s")).select("book_id", "ref", "s.*")
 

@@ -95,6 +95,23 @@ def test_wrong_encoding_of_any_language_matches(spark):
     assert ("bad", "r") in {tuple(r) for r in mm.found(spark.createDataFrame(m, META), spark.createDataFrame(c, CAND)).collect()}
 
 
+def test_wrong_encoding_of_a_language_of_records_matches(spark):
+    """A wrongly decoded title finds its record where only the records have its language."""
+    m = [(f"en{k}", f"The long café of the old harbour and the quiet river {k}", "en", None, None, None, None, None, None, 1) for k in range(400)] + [("bad", "берег и старый дом".encode("cp1251").decode("cp1252"), "en", [("Ann Fosterling", None, None)], None, "1955", None, None, None, 1)]
+    c = [("r", "берег и старый дом", ["Ann Fosterling"], None, 1955, None, None, 1)] + [(f"r{k}", f"берег и старый дом {k}", None, None, None, None, None, 1) for k in range(40)]
+    assert ("bad", "r") in {tuple(r) for r in mm.found(spark.createDataFrame(m, META), spark.createDataFrame(c, CAND)).collect()}
+
+
+def test_every_compared_pair_counts(spark, monkeypatch):
+    """Pairs that only a changed digit of an ISBN brought together are counted in an estimate, too."""
+    m = [("a", "Silver Harbour", "en", None, [("9780306406158", None)], None, None, None, None, 1), ("b", "The Painted Tents of Heshafle", "en", None, None, None, None, None, None, 1)]
+    c = [("r", "Quiet Granary", None, ["9780306406257"], None, None, None, 1), ("q", "Painted Tents of Heshafle", None, None, None, None, None, 1)]
+    counted, estimate = [], mm.estimate
+    monkeypatch.setattr(mm, "estimate", lambda patterns: (counted.extend(n for _, n in patterns), estimate(patterns))[1])
+    got = {(r.book_id, r.ref) for r in mm.match(spark.createDataFrame(m, META), spark.createDataFrame(c, CAND)).collect()}
+    assert got == {("a", "r"), ("b", "q")} and sum(counted) == 2
+
+
 def test_close_titles_against_brute_force(spark):
     rng = random.Random(6)
     words = ["harbour", "granary", "lantern", "thimbles", "corridor", "sparrow", "candle", "orchards", "meadow", "whistle"]
