@@ -163,7 +163,7 @@ class Model:
         return self.unusual(text) + min(len(c.compress(f.encode("utf-8", "surrogatepass"))) + (k > 0) for k, f in enumerate(forms) for c in self.coders)
 
     def unusual(self, text: str) -> int:
-        """Pairs of neighbours that the sample does not know."""
+        """Pairs of neighbours that are not usual in any language."""
         return len(neighbours(text) - self.neighbours) if self.judged else 0
 
     def odd(self, text: str) -> bool:
@@ -246,11 +246,10 @@ def fit(metadata: DataFrame, warnings: DataFrame | None = None, records: DataFra
 
     Two passes count in tasks and shuffle only sums: the first how many
     sentences of a language have each character and pair of neighbours, the
-    second the same without damage and rare characters, and the words. A
-    dictionary holds every word of some share of the sentences and for each
-    usual pair the commonest word with it, so its size depends on the alphabet
-    and the shares and not on the rows.
-    A sentence with markup or a lost character is left out.
+    second the same without damage and rare characters, and the words, those of
+    plain ASCII sentences included. A dictionary holds every word of some share
+    of the sentences and for each usual pair the commonest word with it, so its
+    size depends on the alphabet and the shares and not on the rows.
     """
     texts = sentences(metadata, warnings, records)
     foreign = texts.where(F.col("text").rlike(FOREIGN))
@@ -264,11 +263,15 @@ def fit(metadata: DataFrame, warnings: DataFrame | None = None, records: DataFra
     rare = {k: {c for c, n in sums.items() if n < RARE * total[k]} for k, sums in of["char"].items()}
     usual = {c for k, sums in of["char"].items() for c in sums if c not in rare[k]}
     lang = F.when(F.col("lang").isin(sorted(few)), "").otherwise(F.col("lang")) if few else F.col("lang")
-    second = checkpointed(foreign.mapInPandas(_tally((rare, usual, count)), TALLY).groupBy(lang.alias("lang"), "kind", "item").agg(F.sum("n").alias("n")))
+    plain = texts.where(~F.col("text").rlike(FOREIGN)).select("lang", F.lit("word").alias("kind"), F.explode(F.array_distinct(F.split("text", r"[\s\x1C-\x1F]+"))).alias("item"), F.lit(1).cast("bigint").alias("n")).where("item <> ''")
+    second = checkpointed(foreign.mapInPandas(_tally((rare, usual, count)), TALLY).unionByName(plain).groupBy(lang.alias("lang"), "kind", "item").agg(F.sum("n").alias("n")))
     of = _sums(second.where("kind <> 'word'"))
-    kept = {k: sum(n for x, n in total.items() if (x in few and not k) or (x not in few and x == k)) - of["lost"].get(k, {}).get("", 0) for k in of["pair"]}
-    odd = {k: {c for c, n in sums.items() if n < RARE * kept[k]} for k, sums in of["char"].items()}
-    pairs = {k: {p for p, n in sums.items() if n >= USUAL * kept[k]} for k, sums in of["pair"].items()}
+    kept: Counter = Counter()
+    for k, n in total.items():
+        kept["" if k in few else k] += n
+    kept.subtract({k: n[""] for k, n in of["lost"].items()})
+    odd = {k: {c for c, n in of["char"].get(k, {}).items() if n < RARE * kept[k]} for k in kept}
+    pairs = {k: {p for p, n in of["pair"].get(k, {}).items() if n >= USUAL * kept[k]} for k in kept}
     words = second.where("kind = 'word'").mapInPandas(_usual(pairs, odd, {k: WORD * n for k, n in kept.items()}), "lang string, item string, n bigint, pair string")
     top = words.groupBy("lang", "pair").agg(F.max(F.struct("n", F.col("item"))).alias("w")).select("lang", "w.n", "w.item")
     often = words.where("pair = ''").select("lang", "n", "item")
@@ -287,7 +290,11 @@ OTHER_SCRIPT = r"[\p{L}&&[^\p{IsLatin}]]"
 
 
 def sentences(metadata: DataFrame, warnings: DataFrame | None, records: DataFrame | None = None) -> DataFrame:
-    """(lang, text) of every title, every sentence of a description, and every message that is not plain ASCII. Records name no language: their titles count by script, lest one be rare beside another."""
+    """(lang, text) of every title, every sentence of a description, and every message that is not plain ASCII. Records name no language: their titles count by script, lest one be rare beside another.
+
+    Markup and brackets stay, as the values are judged with them. A text with a
+    lost or a control character is sure damage and teaches nothing.
+    """
     short = F.coalesce(F.substring(F.lower(F.trim("language")), 1, 2), F.lit(""))
     parts = F.concat(F.array("title"), F.coalesce(F.split("description", r"(?<=[.!?])\s+"), F.array().cast("array<string>")))
     texts = metadata.select(short.alias("lang"), F.explode(parts).alias("text"))
@@ -295,7 +302,7 @@ def sentences(metadata: DataFrame, warnings: DataFrame | None, records: DataFram
         texts = texts.unionByName(warnings.where(F.col("message").rlike(FOREIGN)).select(F.lit("messages").alias("lang"), F.col("message").alias("text")))
     if records is not None:
         texts = texts.unionByName(records.select(F.when(F.col("title").rlike(OTHER_SCRIPT), "records, other scripts").otherwise("records").alias("lang"), F.col("title").alias("text")))
-    return texts.where("text is not null and length(text) > 3").where(~F.col("text").rlike(r"[<>\[\]{}\x{FFFD}\x80-\x9F]"))
+    return texts.where("text is not null").where(~F.col("text").rlike(r"[\x{FFFD}\x80-\x9F]"))
 
 
 def _sums(counts: DataFrame) -> dict[str, dict[str, dict[str, int]]]:

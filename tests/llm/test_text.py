@@ -87,6 +87,15 @@ def test_no_language_is_left_out(spark):
     assert [(r.row_key, r.restored) for r in got] == [("bad", "Там был старый берег")]
 
 
+def test_models_count_plain_bracketed_and_short_texts(spark):
+    """Words of plain sentences are known, a language without a foreign letter is no error, and titles in brackets or of three letters count."""
+    rows = [(f"p{k}", f"the quiet orchard {k}", None, "en") for k in range(60)] + [(f"q{k}", f"le café {k}", None, "en") for k in range(5)] + [(f"n{k}", f"harbour lights {k}", None, "nl") for k in range(60)]
+    rows += [(f"b{k}", f"[øre {k}]", None, "da") for k in range(60)] + [(f"s{k}", "Žár", None, "cs") for k in range(60)]
+    made = enc.fit(spark.createDataFrame(rows, TITLES))
+    words = {w for d in made for w in d.decode().split()}
+    assert {"quiet", "orchard", "harbour"} <= words and {"[ø", " ž", "žá", "áa"} <= enc.Model(made).neighbours
+
+
 LOOK = [
     ("Thе Old Map", ["script"]), ("Νicholas", ["script"]), ("a\u200bb", ["invisible"]), ("a\u00a0b", ["space"]), ("Ｔｈｅ", ["form"]), ("ﬁne", ["form"]), ("cafe\u0301", ["decomposed"]), ("x&nbsp;y", ["space"]), ("x&#8203;y", ["invisible"]), ("x&#x430; quiet shelf", ["script"]),
     ("In 1922 а miller came", ["script"]), ("Он открыл зaвод", ["script"]),
@@ -134,6 +143,14 @@ def test_wrong_encoding_of_any_language_is_no_lookalike(spark):
     assert {r.row_key for r in look.found(spark.createDataFrame(rows, TITLES), *none).collect()} == {"odd"}
 
 
+def test_wrong_encoding_of_titles_in_brackets_is_no_lookalike(spark):
+    """A language whose titles are all in brackets is known, so its wrongly decoded title is no case here."""
+    rows = [(f"en{k}", f"The long café of the old harbour and the quiet river number {k}", "", "en") for k in range(400)] + [(f"ru{k}", f"[берег и старый дом] {k}", "", "ru") for k in range(40)]
+    rows += [("bad", "берег\u00a0и старый дом".encode("cp1251").decode("cp1252"), "", "en"), ("odd", "The long\u00a0café", "", "en")]
+    none = [spark.createDataFrame([], x) for x in ("creator_id bigint, name string", "chapter_id bigint, body_html string", "warning_id bigint, message string")]
+    assert {r.row_key for r in look.found(spark.createDataFrame(rows, TITLES), *none).collect()} == {"odd"}
+
+
 MARKED = ["<p>x</p>", "a &amp; b", "**bold** x", "x *em* y", "_under score_ y", "# Head\n\ntext", "[a](http://b)", "![i](j.png)", "`code`", "~~gone~~", "a[^1]\n\n[^1]: note", "([source][1])\n\n[1]: http://x", "> quoted", "- a\n- b", "* a\n\n* b", "[[link|text]]", "{{Infobox|a=b}}", "'''wiki'''", "== Head ==", "[https://x.y label]", "x<ref>y</ref>", "\\textbf{x}", "See~\\cite{k}", "(\\S24)", "$x_{1}^2 = 3$", "\\[ \\frac{a}{b} \\]", "\\begin{itemize}\n\\item a\n\\end{itemize}", "&lt;p&gt;x&lt;/p&gt;", "```\ncode\n```"]
 BARE = ["aged 9 < 12 and their R&D-minded parents", "from $3 to $7 a head", "ranked #1 in the poll", "The count, 5 * 3 * 2, was", "wrote “recieved” [sic] here", "the set {salt, rope, tar}", "a - b - c", "* * *", "snake_case_name", "either/or", "it’s 100% ~5", ""]
 
